@@ -5,10 +5,15 @@ from __future__ import annotations
 import importlib
 
 MODULES = {
+    "op1_chat_format": "chat_format",
+    "op2_page_diff": "page_diff",
     "op3_bpe_automaton": "bpe_automaton",
+    "op4_url_tree": "url_tree",
+    "op5_lang_fusion": "lang_fusion",
     "op6_simhash_variants": "simhash",
     "op7_line_dedup": "line_dedup",
     "op8_toxic_crf": "toxic_crf",
+    "op9_adaptive_quality": "adaptive_quality",
     "op10_positional_index": "positional_index",
 }
 
