@@ -47,15 +47,36 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").lower().encode("utf-8", "surrogatepass").translate(_TABLE).split()
 
 
-def training(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, toxic) of the labelled rows that may be learnt from: crc32(doc_id as text) mod 4 is not 2."""
-    y = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    y = y.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2)
-    return docs.select("doc_id", "text").join(y, "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), (F.col("toxic") == 1).alias("toxic"))
+def learnable(labels: DataFrame) -> DataFrame:
+    """(doc_id, toxic) that may be learnt from: crc32(doc_id as text) mod 4 is not 2."""
+    y = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg((F.max("toxic") == 1).alias("toxic"))
+    return y.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2)
 
 
-def term_odds(train: DataFrame) -> dict[bytes, float]:
-    """The terms that toxic documents have more often than others, with log-odds; counted over all of ``train``."""
+def training(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, text, toxic). The join is one of two shuffles at any size: labels grow with the corpus."""
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(learnable(labels).hint("merge"), "doc_id")
+
+
+def sample(docs: DataFrame, labels: DataFrame, n: int = SAMPLE, chars: int = SAMPLE_CHARS) -> list[tuple[str, bool]]:
+    """At most ``n`` (text, toxic) of either label, those with the smallest hashes of doc_id. Ids are chosen first, over
+    all rows; only the texts of those chosen move."""
+    narrow = docs.select("doc_id", F.length(F.coalesce("text", F.lit(""))).alias("n")).where(F.col("n") <= chars).select("doc_id").distinct()
+    known = narrow.join(learnable(labels).hint("merge"), "doc_id")
+    spark, out = docs.sparkSession, []
+    chosen = {r.doc_id: r.toxic for t in (True, False) for r in known.where(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n).collect()}
+    if not chosen:
+        return out
+    ids = F.broadcast(spark.createDataFrame([(i,) for i in chosen], "doc_id long"))
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.length("text") <= chars).join(ids, "doc_id", "left_semi")
+    for r in texts.groupBy("doc_id").agg(F.min("text").alias("text")).orderBy("doc_id").collect():
+        out.append((r.text, bool(chosen[r.doc_id])))
+    return out
+
+
+def term_odds(train: DataFrame) -> tuple[dict[bytes, float], float]:
+    """The terms that toxic documents have more often than others, with log-odds; and the share of toxic documents.
+    Counted over all of ``train``."""
 
     def terms(batches):
         for b in batches:
@@ -72,10 +93,10 @@ def term_odds(train: DataFrame) -> dict[bytes, float]:
     counts = checkpoint(counts.where(f"term IS NULL OR bad >= {MIN_DOCS}"))
     whole = counts.where("term IS NULL").first()
     if whole is None or not whole.bad or not whole.other:
-        return {}
+        return {}, 0.0
     odds = F.log((F.col("bad") + 0.5) / (whole.bad + 1.0)) - F.log((F.col("other") + 0.5) / (whole.other + 1.0))
     rows = counts.where("term IS NOT NULL").select("term", odds.alias("odds")).where(F.col("odds") >= MIN_ODDS)
-    return {bytes(r.term): r.odds for r in rows.orderBy(F.desc("odds"), "term").limit(MAX_TERMS).collect()}
+    return {bytes(r.term): r.odds for r in rows.orderBy(F.desc("odds"), "term").limit(MAX_TERMS).collect()}, whole.bad / (whole.bad + whole.other)
 
 
 class Field:
@@ -234,19 +255,16 @@ class Field:
 
 
 def fit_field(docs: DataFrame, labels: DataFrame) -> Field:
-    """The sample takes the labelled rows with the smallest hashes of doc_id, of either label."""
-    train = training(docs, labels)
-    odds = term_odds(train)
+    odds, share = term_odds(training(docs, labels))
     field = Field(odds)
-    if odds:
-        short = train.where(F.length("text") <= SAMPLE_CHARS)
-        pick = lambda toxic: short.where(F.col("toxic") == toxic).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(SAMPLE)
-        rows = [(tokens(r.text), bool(r.toxic)) for toxic in (True, False) for r in pick(toxic).select("text", "toxic").collect()]
-        share = train.agg(F.avg(F.col("toxic").cast("int"))).first()[0]
-        field.fit(rows, odds)
-        # The sample has as many of either; the score is to hold for the share that labels have.
-        got = sum(b for _, b in rows) / len(rows)
-        field.fit_document[0] += math.log(share / (1 - share)) - math.log(got / (1 - got)) if 0 < got < 1 and 0 < share < 1 else 0.0
+    rows = [(tokens(text), toxic) for text, toxic in sample(docs, labels)] if odds else []
+    got = sum(b for _, b in rows) / max(1, len(rows))
+    if not 0 < got < 1:
+        field.usable = False
+        return field
+    field.fit(rows, odds)
+    # The sample has as many of either; the score is to hold for the share that labels have.
+    field.fit_document[0] += math.log(share / (1 - share)) - math.log(got / (1 - got))
     return field
 
 
