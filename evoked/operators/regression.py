@@ -149,7 +149,8 @@ def triangle(rows: DataFrame, width: int) -> np.ndarray:
         for b in batches:
             if len(b):
                 held = np.linalg.qr(np.vstack([held, np.vstack(b["x"].to_numpy())]), mode="r")
-        yield pd.DataFrame({"r": [row.tolist() for row in held]})
+        if len(held):
+            yield pd.DataFrame({"r": [row.tolist() for row in held]})
 
     parts = rows.select("x").mapInPandas(reduce, "r array<double>").collect()
     return np.linalg.qr(np.array([p.r for p in parts]), mode="r") if parts else np.zeros((0, width))
