@@ -24,10 +24,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evoked.llm.common import table
+from evoked.llm.common import checkpoint, small, table
 from evoked.llm.url_tree import host_and_path
 
 BLOCK_PAGES = 64
+BROADCAST_ROWS = 200_000
 _SKIPPED = frozenset("script style noscript template iframe object svg math head title select textarea button canvas audio video".split())
 _BOILER = frozenset("nav header footer aside form menu dialog".split())
 _CONTENT = frozenset("article main".split())
@@ -161,7 +162,9 @@ def extract(pages: DataFrame, block_pages: int = BLOCK_PAGES) -> DataFrame:
     host, path = host_and_path(F.col("url"))
     urls = pages.select("url").select(host.alias("g_host"), F.regexp_extract(path, r"^(.*/)", 1).alias("g_folder"))
     sizes = urls.groupBy("g_host", "g_folder").agg(F.ceil(F.count("*") / block_pages).alias("blocks"))
-    rows = _lines(pages).join(sizes, F.expr("host = g_host AND folder = g_folder")).drop("g_host", "g_folder")
+    # Folders are far fewer than pages, and counted before they are broadcast; beyond the bound the lines are shuffled.
+    sizes = checkpoint(sizes)
+    rows = _lines(pages).join(F.broadcast(sizes) if small(sizes, BROADCAST_ROWS) else sizes, F.expr("host = g_host AND folder = g_folder")).drop("g_host", "g_folder")
     rows = rows.withColumn("block", F.expr("pmod(xxhash64(path, page_id), blocks)")).drop("folder", "blocks").withColumn("folder", F.xxhash64("host", F.regexp_extract("path", r"^(.*/)", 1)))
 
     def difference(block: pd.DataFrame) -> pd.DataFrame:
