@@ -32,8 +32,8 @@ from evoked.llm.common import table
 
 #: Fixed: how byte-level BPE splits texts; L, N and S stand for the classes of letters, numbers and white space.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[L]+| ?[N]+| ?[^SLN]+|[S]+(?![^S])|[S]+"
-#: Words, and as many pieces, that a Python worker keeps, at most about 300 MB; arcs, some 50 MB.
-CACHED_WORDS, CACHED_ARCS = 500_000, 400_000
+#: Words, and as many pieces, that a Python worker keeps, at most about 80 MB; arcs, some 25 MB.
+CACHED_WORDS, CACHED_ARCS = 120_000, 200_000
 #: Longer words are not cached.
 CACHED_CHARS = 40
 
