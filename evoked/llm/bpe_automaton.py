@@ -23,8 +23,10 @@ import hashlib
 import json
 import re
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -201,24 +203,32 @@ class Automaton:
         return b"".join(map(self.labels.__getitem__, ids)).decode("utf-8", "replace")
 
 
-def _automaton(tables) -> Automaton:
-    """One automaton for each Python worker and broadcast, so that its words stay from task to task."""
-    global _KEPT
-    if _KEPT is None or _KEPT[0] is not tables.value:
-        _KEPT = (tables.value, Automaton(tables.value))
-    return _KEPT[1]
+def _automaton(key: str, tables) -> Automaton:
+    """A Python worker's automaton. It is kept from task to task, and for all queries on the same vocabulary: a worker never
+    holds two, nor reads the broadcast tables again."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = Automaton(tables.value)
+    return _KEPT[key]
 
 
-_KEPT = None
+_KEPT: dict[str, Automaton] = {}
+
+
+def _shared(spark: SparkSession, path: str) -> Callable[[], Automaton]:
+    """What gives each Python worker its automaton."""
+    compiled = compile_merges(path)
+    key, tables = hashlib.sha256(repr(compiled).encode()).hexdigest(), spark.sparkContext.broadcast(compiled)
+    return lambda: _automaton(key, tables)
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids") -> DataFrame:
     """``docs`` with the array of ids ``out``."""
-    tables = docs.sparkSession.sparkContext.broadcast(compile_merges(path))
+    automaton = _shared(docs.sparkSession, path)
 
     @F.pandas_udf("array<int>")
     def ids(texts: pd.Series) -> pd.Series:
-        a = _automaton(tables)
+        a = automaton()
         return texts.map(lambda t: a.encode(t or ""))
 
     return docs.withColumn(out, ids(F.col(text)))
@@ -226,32 +236,35 @@ def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids") ->
 
 def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "text") -> DataFrame:
     """``df`` with the text ``out`` that the ids spell."""
-    tables = df.sparkSession.sparkContext.broadcast(compile_merges(path))
+    automaton = _shared(df.sparkSession, path)
 
     @F.pandas_udf("string")
     def texts(rows: pd.Series) -> pd.Series:
-        a = _automaton(tables)
+        a = automaton()
         return rows.map(lambda r: a.decode([] if r is None else list(r)))
 
     return df.withColumn(out, texts(F.col(ids)))
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row. Both ways in one step, so that ids never leave the worker."""
-    tables = docs.sparkSession.sparkContext.broadcast(compile_merges(path))
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row. Both ways in one step, so that ids never leave the worker,
+    which holds one text at a time besides its Arrow batch."""
+    automaton = _shared(docs.sparkSession, path)
 
     def make(batches):
-        a, sha = _automaton(tables), lambda b: hashlib.sha256(b).hexdigest()
+        a, sha = automaton(), lambda b: hashlib.sha256(b).hexdigest()
         names = list(map(str, range(len(a.labels))))
         for b in batches:
-            rows = []
-            for t in b["text"]:
-                ids = a.encode(t or "")
-                rows.append((len(ids), sha(",".join(map(names.__getitem__, ids)).encode()), sha(a.decode(ids).encode())))
-            n, i, d = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "n_tokens": pd.Series(n, dtype="int64"), "ids_sha256": pd.Series(i, dtype=str), "decoded_sha256": pd.Series(d, dtype=str)})
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(make, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+            n, i, d = [], [], []
+            for t in b.column(1):
+                ids = a.encode(t.as_py() or "")
+                n.append(len(ids))
+                i.append(sha(",".join(map(names.__getitem__, ids)).encode()))
+                d.append(sha(a.decode(ids).encode()))
+            columns = [b.column(0), pa.array(n, pa.int64()), pa.array(i, pa.string()), pa.array(d, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(make, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def default_path() -> str:
