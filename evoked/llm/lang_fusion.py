@@ -96,11 +96,17 @@ def document_evidence(docs: DataFrame) -> DataFrame:
 
 
 def fit_text(evidence: DataFrame, sample: int = SAMPLE) -> TextModel:
-    """From at most ``sample`` texts of each declared language, those with the smallest hashes."""
-    seen = evidence.where("declared IS NOT NULL")
-    names = [r[0] for r in seen.groupBy("declared").count().orderBy(F.desc("count"), "declared").limit(LANGUAGES).collect()]
-    rows = [(r.declared, r.text) for n in names for r in seen.where(F.col("declared") == n).orderBy(F.xxhash64("text"), "text").limit(sample).select("declared", F.left("text", F.lit(20_000)).alias("text")).collect()]
-    return TextModel(rows)
+    """From at most ``sample`` different texts of each declared language, those with the smallest hashes. Hashes are chosen
+    first, over all rows; only the texts of those chosen reach the driver, so what it gets does not grow with the corpus."""
+    seen = evidence.where("declared IS NOT NULL").select("declared", "text", F.xxhash64("text").alias("h"))
+    hashes = checkpoint(seen.groupBy("declared", "h").count())
+    names = [r[0] for r in hashes.groupBy("declared").agg(F.sum("count").alias("n")).orderBy(F.desc("n"), "declared").limit(LANGUAGES).collect()]
+    chosen = [(n, r.h) for n in names for r in hashes.where(F.col("declared") == n).orderBy("h").limit(sample).select("h").collect()]
+    if not chosen:
+        return TextModel([])
+    wanted = F.broadcast(evidence.sparkSession.createDataFrame(chosen, "declared string, h long"))
+    texts = seen.join(wanted, ["declared", "h"], "left_semi").groupBy("declared", "h").agg(F.min(F.left("text", F.lit(20_000))).alias("text"))
+    return TextModel([(r.declared, r.text) for r in texts.collect()])
 
 
 def text_posteriors(evidence: DataFrame, model: TextModel) -> DataFrame:
