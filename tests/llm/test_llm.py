@@ -224,3 +224,15 @@ def test_decontamination(spark, docs):
     far = spark.createDataFrame([(1, "seven very old and men"), (2, "old " + "x " * 20 + "seven y men")], "doc_id long, text string")
     assert {r.doc_id for r in positional_index.proximity_matches(far, items, 4).collect()} == {1}
     assert positional_index.decontaminate(docs, items.where("false")).where("contaminated").count() == 0
+
+
+def test_language_sample(spark):
+    from evoked.llm.lang_fusion import fit_text
+
+    schema = "declared string, text string"
+    rows = [("en", "the cat and the dog")] * 50 + [("en", "a house by the sea"), ("en", None), ("fr", "le chat et le chien"), ("fr", ""), (None, "nobody knows")]
+    once = spark.createDataFrame(list(dict.fromkeys(rows)), schema)
+    model = fit_text(spark.createDataFrame(rows, schema))
+    assert model.languages == ["en", "fr"]
+    assert (model.table == fit_text(once).table).all()  # copies count once
+    assert fit_text(spark.createDataFrame([], schema)).languages == []
