@@ -1,7 +1,7 @@
 """The corpus pipeline: five stages over documents, each written as Parquet and read again for the next.
 
-toxicity drops documents predicted toxic; line dedup takes repeated lines out of texts; SimHash near-dedup keeps the
-document with the smallest doc_id of each group; benchmark decontamination drops documents with a benchmark passage; BPE
+toxicity drops documents predicted toxic; line dedup takes repeated lines out of texts; near-dedup (the stage named
+simhash) keeps the document with the smallest doc_id of each group; benchmark decontamination drops documents with a benchmark passage; BPE
 encodes and decodes what is left. All but the last return the columns of documents.
 """
 
@@ -12,12 +12,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evoked.llm import bpe_automaton, line_dedup, positional_index, simhash, toxic_crf
+from evoked.llm import bpe_automaton, line_dedup, near_copies, positional_index, toxic_crf
 from evoked.llm.common import shared_dir, table
 
-#: Near copies share 0.8 of their five-word shingles. At that share about 15 % of fingerprint bits differ, 19 of 128
-#: with a deviation of 4. Eight segments of 16 bits find every pair up to 15 bits and by chance nearly all beyond.
-SHINGLE, FINGERPRINT_WORDS, DISTANCE, SEGMENTS = 5, 2, 24, 8
+#: Near copies share 4 / 5 of their five-word shingles (Jaccard) or more.
+SHINGLE, SIMILARITY = 5, (4, 5)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +29,7 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = simhash.near_groups(docs.select("doc_id", "text"), SHINGLE, FINGERPRINT_WORDS, DISTANCE, SEGMENTS)
+    groups = near_copies.near_groups(docs.select("doc_id", "text"), SHINGLE, *SIMILARITY)
     gone = groups.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
 

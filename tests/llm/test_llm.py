@@ -236,3 +236,43 @@ def test_language_sample(spark):
     assert model.languages == ["en", "fr"]
     assert (model.table == fit_text(once).table).all()  # copies count once
     assert fit_text(spark.createDataFrame([], schema)).languages == []
+
+
+def _near_texts(seed):
+    """Texts with copies at all similarities, and the shingle set of each."""
+    rng, texts = random.Random(seed), []
+    for _ in range(30):
+        base = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([4, 12, 60, 150]))]
+        texts.append(base)
+        for _ in range(12):
+            x = list(rng.choice(texts[-3:]) if rng.random() < 0.3 else base)
+            for _ in range(rng.randrange(1, 1 + max(1, len(x) // 18))):
+                x[rng.randrange(len(x))] = f"w{rng.randrange(5000)}"
+            texts.append(x)
+    sets = [{tuple(x[i : i + 5]) for i in range(max(1, len(x) - 4))} for x in texts]
+    return [" ".join(x) for x in texts], sets
+
+
+def _groups(sets, similarity=0.8):
+    root = list(range(len(sets)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for j, y in enumerate(sets):
+        for i, x in enumerate(sets[:j]):
+            if len(x & y) >= similarity * len(x | y):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(sets))]
+
+
+def test_pipeline_near_dedup_recall(spark):
+    import corpus_pipeline
+
+    texts, sets = _near_texts(8)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, df, "").collect()}
+    assert not kept & {i for i, g in enumerate(_groups(sets)) if g != i}  # no near copy is left
