@@ -276,3 +276,21 @@ def test_pipeline_near_dedup_recall(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, df, "").collect()}
     assert not kept & {i for i, g in enumerate(_groups(sets)) if g != i}  # no near copy is left
+
+
+def test_pipeline_near_dedup_precision(spark):
+    import corpus_pipeline
+
+    texts, sets = _near_texts(9)
+    rng = random.Random(10)
+    common = [f"c{i}" for i in range(100)]
+    for own in (8, 12, 14, 20) * 15:  # meetings of 60, alike by 0.72 to 0.86
+        tail = [f"t{rng.randrange(10**6)}" for _ in range(own)]
+        x = common + tail if rng.random() < 0.5 else tail + common
+        texts.append(" ".join(x))
+        sets.append({tuple(x[i : i + 5]) for i in range(len(x) - 4)})
+    df = spark.createDataFrame([*enumerate(texts), (None, texts[0])], "doc_id long, text string")
+    out = sorted((r.doc_id, r.component_id) for r in corpus_pipeline.near_copies.near_groups(df).collect())
+    assert out == list(enumerate(_groups(sets)))
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, df, "").collect()}
+    assert kept == {None} | {i for i, g in enumerate(_groups(sets)) if g == i}  # and nothing else is dropped
