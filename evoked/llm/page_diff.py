@@ -6,12 +6,14 @@ of a host are sorted by URL path and each is paired with the ones before and aft
 longest common subsequence, and lines that a pair shares are deleted. Marked boilerplate goes without that, and lines
 inside a content element stay although shared: two pages may print one article.
 
-A host may have a third of all pages, so a host's folders are dealt into blocks of about ``BLOCK_PAGES`` by a hash
-of path, and a page's nearest ones are those of its block. A folder's pages are counted first; the count says how many
-blocks it has.
+A host may have a third of all pages, so pages are cut by the order of (host, path without trailing slashes, page_id) into
+runs of at most ``BLOCK_PAGES``. The pages at the ends of a run go to the run next to it as well, so that each page meets both
+of its neighbours, wherever it stands and however many pages its host has. Only the keys of the ends of runs are collected
+and broadcast, two for each run.
 
 Cases: null or empty html gives an empty text; broken markup is read as far as it goes, unclosed blocks end where
-the next begins; a page alone in its block is compared with none; repeated rows are pages of their own; empty tables give
+the next begins; a page alone on its host is compared with none; repeated rows are pages of their own and stand in
+one run; empty tables give
 no rows; extra columns are ignored.
 """
 
@@ -19,16 +21,16 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evoked.llm.common import checkpoint, small, table
+from evoked.llm.common import checkpoint, table
 from evoked.llm.url_tree import host_and_path
 
 BLOCK_PAGES = 64
-BROADCAST_ROWS = 200_000
 _SKIPPED = frozenset("script style noscript template iframe object svg math head title select textarea button canvas audio video".split())
 _BOILER = frozenset("nav header footer aside form menu dialog".split())
 _CONTENT = frozenset("article main".split())
@@ -143,36 +145,59 @@ def shared(a: list[int], b: list[int]) -> list[int]:
     return ends + found
 
 
-def _lines(pages: DataFrame) -> DataFrame:
-    """page_id, url, host, path, folder, lines and marks."""
-    kind = "page_id long, url string, lines array<string>, marks array<tinyint>"
+def _keyed(pages: DataFrame) -> DataFrame:
+    """``pages`` with host, path (less trailing slashes) and id, which pages are sorted by."""
+    host, path = host_and_path(F.col("url"))
+    order = pages.select(F.col("page_id").cast("long"), *(c for c in pages.columns if c in ("url", "html")))
+    order = order.withColumn("host", F.coalesce(host, F.lit(""))).withColumn("path", F.regexp_replace(F.coalesce(path, F.lit("")), "/+$", ""))
+    return order.withColumn("id", F.coalesce("page_id", F.lit(-(1 << 63))))
 
-    def read(batches):
-        for b in batches:
-            rows = [lines_of(x) for x in b["html"]]
-            yield pd.DataFrame({"page_id": b["page_id"].astype("Int64"), "url": b["url"], "lines": [[t for t, _ in r] for r in rows], "marks": [[m for _, m in r] for r in rows]})
 
-    host, path = host_and_path(F.col("url"))
-    read_in = pages.select(F.col("page_id").cast("long"), "url", "html").mapInPandas(read, kind)
-    return read_in.withColumn("host", host).withColumn("path", path).withColumn("folder", F.regexp_extract("path", r"^(.*/)", 1))
+def _ends(pages: DataFrame, block_pages: int) -> tuple[list[tuple], list[tuple]]:
+    """The first and the last key of each run of pages, in order."""
+    key = ["host", "path", "id"]
+    at = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    runs = _keyed(pages.select("page_id", "url")).select(*key).distinct().repartitionByRange(*key).sortWithinPartitions(*key)
+    runs = runs.select(F.struct(*key).alias("key"), F.spark_partition_id().alias("part"), F.floor(at / block_pages).alias("run"))
+    ends = runs.groupBy("part", "run").agg(F.min("key").alias("a"), F.max("key").alias("b")).collect()
+    return sorted(tuple(r.a) for r in ends), sorted(tuple(r.b) for r in ends)
 
 
 def extract(pages: DataFrame, block_pages: int = BLOCK_PAGES) -> DataFrame:
     """page_id, url, text and n_shared (lines deleted because a page near by has them)."""
-    host, path = host_and_path(F.col("url"))
-    urls = pages.select("url").select(host.alias("g_host"), F.regexp_extract(path, r"^(.*/)", 1).alias("g_folder"))
-    sizes = urls.groupBy("g_host", "g_folder").agg(F.ceil(F.count("*") / block_pages).alias("blocks"))
-    # Folders are far fewer than pages, and counted before they are broadcast; beyond the bound the lines are shuffled.
-    sizes = checkpoint(sizes)
-    rows = _lines(pages).join(F.broadcast(sizes) if small(sizes, BROADCAST_ROWS) else sizes, F.expr("host = g_host AND folder = g_folder")).drop("g_host", "g_folder")
-    rows = rows.withColumn("block", F.expr("pmod(xxhash64(path, page_id), blocks)")).drop("folder", "blocks").withColumn("folder", F.xxhash64("host", F.regexp_extract("path", r"^(.*/)", 1)))
+    held = pages.sparkSession.sparkContext.broadcast(_ends(pages, block_pages))
+    kind = "page_id long, url string, host string, path string, id long, block int, own boolean, lines array<string>, marks array<tinyint>"
+
+    def read(batches):
+        """A page's lines for its run, and again for the run next to it if the page stands at an end."""
+        starts, ends = held.value
+        for b in batches:
+            out = []
+            for page_id, url, page, *key in zip(b["page_id"].astype("Int64"), b["url"], b["html"], b["host"], b["path"], b["id"], strict=True):
+                key = tuple(key)
+                rows = lines_of(page)
+                lines, marks = [t for t, _ in rows], [m for _, m in rows]
+                block = bisect_right(starts, key) - 1
+                out.append((page_id, url, *key, block, True, lines, marks))
+                if key == starts[block] and block and ends[block - 1][0] == key[0]:
+                    out.append((page_id, url, *key, block - 1, False, lines, marks))
+                if key == ends[block] and block + 1 < len(starts) and starts[block + 1][0] == key[0]:
+                    out.append((page_id, url, *key, block + 1, False, lines, marks))
+            if out:
+                frame = pd.DataFrame(out, columns=["page_id", "url", "host", "path", "id", "block", "own", "lines", "marks"])
+                yield frame.astype({"page_id": "Int64"})
+
+    rows = _keyed(pages).mapInPandas(read, kind)
 
     def difference(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values(["path", "page_id"], kind="stable").reset_index(drop=True)
+        block = block.sort_values(["host", "path", "id"], kind="stable").reset_index(drop=True)
         ids: dict[str, int] = {}
         coded = [[ids.setdefault(t, len(ids)) for t in lines] for lines in block["lines"]]
         gone: list[set[int]] = [set() for _ in coded]
+        hosts = list(block["host"])
         for i in range(len(coded) - 1):
+            if hosts[i] != hosts[i + 1]:
+                continue
             both = sorted(shared(coded[i], coded[i + 1]))
             gone[i].update(both)
             gone[i + 1].update(shared(coded[i + 1], coded[i]))
@@ -181,10 +206,10 @@ def extract(pages: DataFrame, block_pages: int = BLOCK_PAGES) -> DataFrame:
             keep = [t for k, (t, m) in enumerate(zip(lines, marks, strict=True)) if m == CONTENT or m == PLAIN and k not in out]
             texts.append("\n\n".join(keep))
             n.append(sum(m == PLAIN and k in out for k, m in enumerate(marks)))
-        return pd.DataFrame({"page_id": block["page_id"].astype("Int64"), "url": block["url"], "text": texts, "n_shared": pd.Series(n, dtype="int32")})
+        out = pd.DataFrame({"page_id": block["page_id"].astype("Int64"), "url": block["url"], "text": texts, "n_shared": pd.Series(n, dtype="int32")})
+        return out[block["own"]]
 
-    grouped = rows.select("page_id", "url", "path", "lines", "marks", "folder", "block").groupBy("folder", "block")
-    return grouped.applyInPandas(difference, "page_id long, url string, text string, n_shared int")
+    return rows.groupBy("block").applyInPandas(difference, "page_id long, url string, text string, n_shared int")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

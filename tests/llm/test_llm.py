@@ -294,3 +294,10 @@ def test_pipeline_near_dedup_precision(spark):
     assert out == list(enumerate(_groups(sets)))
     kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, df, "").collect()}
     assert kept == {None} | {i for i, g in enumerate(_groups(sets)) if g == i}  # and nothing else is dropped
+
+
+def test_pages_ending_in_a_slash_are_paired(spark):
+    rows = [(i, f"http://h.org/{x}/", f"<div>printed on all</div><div>own {x}</div>") for i, x in enumerate(["a", "b", "c/d"])]
+    rows.append((9, "http://other.org/a/", "<div>printed on all</div>"))  # another host
+    got = {r.page_id: r.text for r in page_diff.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {0: "own a", 1: "own b", 2: "own c/d", 9: "printed on all"}
