@@ -301,3 +301,11 @@ def test_pages_ending_in_a_slash_are_paired(spark):
     rows.append((9, "http://other.org/a/", "<div>printed on all</div>"))  # another host
     got = {r.page_id: r.text for r in page_diff.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {0: "own a", 1: "own b", 2: "own c/d", 9: "printed on all"}
+
+
+def test_pages_of_large_folders_meet_their_neighbours(spark):
+    rows = [(i * 7919 % 1000, f"http://h.org/en/{i:04}", f"<div>run {i // 2}</div><div>own {i}</div>") for i in range(301)]
+    got = page_diff.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), 8).collect()
+    assert len(got) == 301
+    # Each page but the last shares a line with one neighbour, before or after it, and with no other page.
+    assert {r.text for r in got} == {f"own {i}" for i in range(300)} | {"run 150\n\nown 300"}
