@@ -12,7 +12,8 @@ inside one block of ``BLOCK`` characters, all before and all after the block are
 shares the surroundings of emit variants. No line that has a near one is lost by this.
 
 A line is dropped if an equal or a near line stands earlier: in a smaller doc_id, or further up in the same text. Lines of
-fewer than ``MIN_CHARS`` characters are always kept: headings and single words are not copies.
+fewer than ``min_chars`` characters have no near lines, and fewer than ``exact_chars`` no equal ones either. op7 has both at
+``MIN_CHARS``, as its SQL; the pipeline lets all lines but empty ones take part in exact dedup.
 
 Cases: null texts stay null and have no lines; empty texts are one empty line, which is kept; rows with the same doc_id
 count as one document (a line at the same place in both is one line); null doc_ids come first; empty tables give
@@ -92,10 +93,10 @@ def near_lines(docs: DataFrame, min_chars: int = MIN_CHARS, block: int = BLOCK)
     return both.where(F.levenshtein("line", "other", 1) >= 0).select(*H).distinct()
 
 
-def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, block: int = BLOCK) -> DataFrame:
+def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, block: int = BLOCK, exact_chars: int = MIN_CHARS) -> DataFrame:
     """(doc_id, drop): for each document that loses lines, the (pos, h1) of those."""
     near = checkpoint(near_lines(docs, min_chars, block).withColumn("near", F.lit(True)))
-    lines = _lines(docs, min_chars).select("doc_id", "pos", *H)
+    lines = _lines(docs, exact_chars).select("doc_id", "pos", *H)
     each = lines.groupBy(*H).agg(F.min(F.struct("doc_id", "pos")).alias("kept"), F.count("*").alias("n"))
     losing = each.join(F.broadcast(near) if small(near, BROADCAST_ROWS) else near, list(H), "left").where("n > 1 OR near")
     gone = lines.join(losing.select(*H, "kept", "near"), list(H)).where("near OR kept <> struct(doc_id, pos)")
@@ -106,9 +107,9 @@ def _kept(text: Column, drop: Column) -> Column:
     return F.filter(F.split(text, "\n", -1), lambda line, i: drop.isNull() | ~F.array_contains(drop, F.struct(i.alias("pos"), F.xxhash64(line).alias("h1"))))
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, block: int = BLOCK) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, block: int = BLOCK, exact_chars: int = MIN_CHARS) -> DataFrame:
     """``docs`` with the dropped lines taken out of text, and the counts _n_lines and _n_dropped."""
-    gone = dropped_lines(docs.select("doc_id", "text"), min_chars, block).withColumnRenamed("doc_id", "_id")
+    gone = dropped_lines(docs.select("doc_id", "text"), min_chars, block, exact_chars).withColumnRenamed("doc_id", "_id")
     out = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
     n = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1)))
     out = out.withColumn("_n_lines", n.cast("long")).withColumn("_kept", _kept(F.col("text"), F.col("drop")))

@@ -309,3 +309,11 @@ def test_pages_of_large_folders_meet_their_neighbours(spark):
     assert len(got) == 301
     # Each page but the last shares a line with one neighbour, before or after it, and with no other page.
     assert {r.text for r in got} == {f"own {i}" for i in range(300)} | {"run 150\n\nown 300"}
+
+
+def test_pipeline_drops_repeated_short_lines(spark):
+    import corpus_pipeline
+
+    df = spark.createDataFrame([(1, "Les.\n\nunlike\nLes."), (2, "Les.\n\nunlikf"), (3, "\u4f60\u597d\n"), (4, "\u4f60\u597d")], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup_stage(spark, df, "").collect()}
+    assert got == {1: "Les.\n\nunlike", 2: "\nunlikf", 3: "\u4f60\u597d\n", 4: ""}
