@@ -1,5 +1,9 @@
-"""Near copies by an exact similarity join on word shingles: every pair of documents whose sets of five-word shingles have
-a Jaccard similarity of 0.8 or more is linked, and no other.
+"""Near copies by SimHash and an exact similarity join on word shingles: every pair of documents whose sets of five-word
+shingles have a Jaccard similarity of 0.8 or more is linked, directly or by others, and no other pair is.
+
+No fingerprint distance covers such pairs, so SimHash comes first and is not the whole: deletion-variant signatures
+(``simhash.links``) bring the closest copies together, which are verified by their sets. What that has not connected yet is
+left to a prefix filter.
 
 Shingles are hashed to 64 bits; documents with equal sets are one node. A pair at 0.8 shares at least 0.8 of either set, so
 with the shingles of each set in one order for all, rarest first, its smallest common shingle stands among the first
@@ -10,8 +14,10 @@ Documents that meet at a shingle are verified by their sets. Meetings of more th
 each of them is first verified against the smallest one, and then only those still in different components are compared,
 less the ones whose shingles, counted in buckets, differ too much for the threshold (a lower bound on the difference).
 
-Cases: null and empty texts are equal; fewer words than a shingle: the whole sequence is one shingle; rows with a null
-doc_id take no part; empty tables give no rows; other columns are ignored.
+Cases: null and empty texts are equal; fewer words than a shingle: the whole sequence is one shingle; texts of any length are
+read whole; rows are told apart by doc_id and a hash of the text, so rows that share doc_id, or have none, are documents like
+any other; of a group the smallest (doc_id, hash) stays, ids before nulls, and one of rows repeated in full; empty tables give
+no rows; other columns, whatever their names, are kept by ``drop_copies`` and ignored by the rest.
 """
 
 from __future__ import annotations
@@ -22,9 +28,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evoked.llm.common import checkpoint, small
-from evoked.llm.simhash import SEED, components
+from evoked.llm.common import checkpoint, hinted, packed, small, unpacked
+from evoked.llm.simhash import SEED, components, links, majority, spans
 
+#: Bits in which the fingerprints of what SimHash links may differ.
+DISTANCE = 4
 #: Meetings of up to so many documents are compared pair by pair.
 MEETING = 16
 BUCKETS = 128
@@ -35,15 +43,9 @@ BROADCAST_ROWS = 500_000
 
 def shingles(text: str | None, size: int) -> np.ndarray:
     """The set's hashes, ascending."""
-    tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not tokens:
-        return np.empty(0, np.int64)
-    joined, n = b" ".join(tokens), len(tokens)
-    k = min(size, n)
-    ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, n) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    digest, spans = xxhash.xxh64_intdigest, zip(starts[: n - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)
-    return np.unique(np.fromiter((digest(joined[a:b], SEED) for a, b in spans), np.uint64, n - k + 1).view(np.int64))
+    joined, at = spans(text, size)
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(joined[a:b], SEED) for a, b in at), np.uint64, len(at)).view(np.int64))
 
 
 def _node(hashes: np.ndarray) -> int:
@@ -51,13 +53,16 @@ def _node(hashes: np.ndarray) -> int:
 
 
 def _nodes(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, node): documents with equal sets have one node."""
+    """(doc_id, text_hash, node, f): documents with equal sets have one node; f: the set's SimHash."""
 
     def make(batches):
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "node": np.array([_node(shingles(t, size)) for t in b["text"]], np.int64)})
+            sets = [shingles(t, size) for t in b["text"]]
+            f = np.array([majority([h.view(np.uint64)]) for h in sets], np.uint64).view(np.int64)
+            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "text_hash": b["text_hash"], "node": np.array([_node(h) for h in sets], np.int64), "f": f})
 
-    return docs.mapInPandas(make, "doc_id long, node long")
+    rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
+    return rows.mapInPandas(make, "doc_id long, text_hash long, node long, f long")
 
 
 def _rows(docs: DataFrame, size: int) -> DataFrame:
@@ -140,10 +145,10 @@ def _meetings(sets: DataFrame) -> DataFrame:
 
 
 def _first_pairs(keyed: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b): all pairs of small meetings, and of others each node with the smallest one."""
+    """(a, b): all pairs of small meetings, and of others each node with the smallest one, but for those in one component."""
 
     def meet(batches):
-        for (key, node, n), edge in _runs(batches, ["key", "node", "n"], "key"):
+        for (key, node, n, root), edge in _runs(batches, ["key", "node", "n", "root"], "key"):
             if not len(key):
                 continue
             count = np.diff(edge)
@@ -158,12 +163,16 @@ def _first_pairs(keyed: DataFrame, num: int, den: int) -> DataFrame:
                 x.append(at + lag)
                 y.append(at)
             x, y = np.concatenate(x), np.concatenate(y)
-            fit = (x != y) & (np.minimum(n[x], n[y]).astype(np.int64) * den >= np.maximum(n[x], n[y]).astype(np.int64) * num)
+            fit = (root[x] != root[y]) & (np.minimum(n[x], n[y]).astype(np.int64) * den >= np.maximum(n[x], n[y]).astype(np.int64) * num)
             yield pd.DataFrame({"a": np.maximum(node[x], node[y])[fit], "b": np.minimum(node[x], node[y])[fit]}).drop_duplicates()
 
     return keyed.repartition("key").sortWithinPartitions("key", "node").mapInPandas(meet, "a long, b long").distinct()
 
 
+def _rooted(keyed: DataFrame, roots: DataFrame) -> DataFrame:
+    return keyed.join(hinted(roots, BROADCAST_ROWS), "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
+
+
 def _mixed(keyed: DataFrame, roots: DataFrame) -> DataFrame:
     """(key, node, n, root): large meetings that have more than one component."""
 
@@ -176,8 +185,7 @@ def _mixed(keyed: DataFrame, roots: DataFrame) -> DataFrame:
             keep = np.repeat((count > MEETING) & differ, count)
             yield pd.DataFrame({"key": key, "node": node, "n": n, "root": root})[keep]
 
-    named = keyed.join(F.broadcast(roots) if small(roots, BROADCAST_ROWS) else roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
-    return named.repartition("key").sortWithinPartitions("key").mapInPandas(unlike, "key long, node long, n int, root long")
+    return _rooted(keyed, roots).repartition("key").sortWithinPartitions("key").mapInPandas(unlike, "key long, node long, n int, root long")
 
 
 def _other_pairs(mixed: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -218,20 +226,38 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
 
 
 def near_groups(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """(doc_id, component_id): the smallest doc_id connected by pairs with a similarity of num / den or more."""
-    docs = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id IS NOT NULL")
+    """(doc_id, text_hash, component_id, stays), a row for each different (doc_id, text): the smallest doc_id connected by pairs
+    with a similarity of num / den or more, and whether the row is the one of its group that stays."""
+    docs = docs.select(F.col("doc_id").cast("long"), "text")
     nodes = checkpoint(_nodes(docs, size))
     sets = checkpoint(_candidates(docs, size, num, den))
-    keyed = checkpoint(_meetings(sets))
-    links = checkpoint(_verified(_first_pairs(keyed, num, den), sets, num, den))
-    roots = components(links)
+    close = checkpoint(_verified(links(nodes.select("node", "f").distinct(), DISTANCE), sets, num, den))
+    known, keyed = components(close), checkpoint(_meetings(sets))
+    found = close.unionByName(checkpoint(_verified(_first_pairs(_rooted(keyed, known), num, den), sets, num, den)))
+    roots = components(found)
     mixed = checkpoint(_mixed(keyed, roots))
     if not mixed.isEmpty():
         more = checkpoint(_verified(_other_pairs(mixed, sets, num, den), sets, num, den))
-        roots = components(links.unionByName(more))
-    named = nodes.join(F.broadcast(roots) if small(roots, BROADCAST_ROWS) else roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root"))
-    named = checkpoint(named)
-    least = named.groupBy("root").agg(F.min("doc_id").alias("least"), F.count("*").alias("k")).where("k > 1").drop("k")
-    least = checkpoint(least)
-    out = named.join(F.broadcast(least) if small(least, BROADCAST_ROWS) else least, "root", "left")
-    return out.select("doc_id", F.coalesce("least", "doc_id").alias("component_id"))
+        roots = components(found.unionByName(more))
+    named = nodes.join(hinted(roots, BROADCAST_ROWS), "node", "left").select("doc_id", "text_hash", F.coalesce("root", "node").alias("root")).distinct()
+    named = checkpoint(named.select("root", "doc_id", "text_hash", F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("i"), F.col("doc_id").isNull().alias("none"), F.col("text_hash").alias("t")).alias("rank")))
+    least = checkpoint(named.groupBy("root").agg(F.min("rank").alias("least"), F.min("doc_id").alias("component_id"), F.count("*").alias("k")).where("k > 1").drop("k"))
+    out = named.join(hinted(least, BROADCAST_ROWS), "root", "left")
+    return out.select("doc_id", "text_hash", F.when(F.col("least").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce(F.col("rank") == F.col("least"), F.lit(True)).alias("stays"))
+
+
+def drop_copies(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text) that stay: one of each group."""
+    groups = checkpoint(near_groups(docs, size, num, den))
+    gone = checkpoint(groups.where("NOT stays").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")))
+    rows = packed(docs, F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))
+    kept = rows.join(hinted(gone, BROADCAST_ROWS), same, "left_anti")
+    # Rows are rarely repeated in full; those alone are moved to leave one of each.
+    ids = rows.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.count("*").alias("k")).where("k > 1").drop("k")
+    again = checkpoint(ids)
+    if not again.isEmpty():
+        again = hinted(again, BROADCAST_ROWS)
+        once = kept.join(again, same, "left_semi").groupBy("doc_id", "text_hash").agg(F.min("_row").alias("_row")).select("_row")
+        kept = kept.join(again, same, "left_anti").select("_row").unionByName(once)
+    return unpacked(kept, docs.columns)

@@ -1,18 +1,21 @@
 """SimHash near-dedup by deletion-variant signatures.
 
-A fingerprint of some 64-bit words is cut into so few segments that two fingerprints within the distance differ by at
-most one bit in one of them. Each segment is indexed once for each of its bits, that bit made a wildcard, so that such
-two share a key. Rows are shuffled by key; rows that meet are verified by the bits in which the fingerprints differ.
+A fingerprint of 64 bits is cut into so few segments that two fingerprints within the distance differ by at most one bit in
+one of them. Each segment is indexed once for each of its bits, that bit made a wildcard, so that such two share a key.
+Rows are shuffled by key; rows that meet are verified by the bits in which the fingerprints differ.
 
 A meeting of many close fingerprints is not expanded into pairs: it is searched breadth first among those not yet
-reached, and gives one link from each to the smallest of its part, which connects exactly what the pairs would connect.
-Components come from alternating large-star and small-star steps on those links, each step written to the shared folder.
+reached, and gives each a link to the one it was reached from, which connects exactly what all pairs would connect.
+Components come from alternating large-star and small-star steps on those links, each step written to the shared folder;
+the links of one hub are dealt over ``SALTS`` keys.
 
-Fingerprints that are equal are one before anything is emitted, so groups of copies cost one row each.
+What is linked are fingerprints, not documents: those that are equal are one before anything is emitted, so groups of
+copies cost one row each, and documents without an id link what they link. A component is named after its smallest doc_id.
 
 Cases: null and empty texts have fingerprint zero and are linked like any other; fewer words than a shingle: the whole
-sequence is one shingle; rows that are repeated or share doc_id keep a row each; a null doc_id is a row of its own
-fingerprint and never names a component unless nothing else is in it; empty tables give no rows; other columns are ignored.
+sequence is one shingle; texts of any length are read whole, ``CHUNK`` shingles at a time; rows that are repeated or share
+doc_id keep a row each, and a doc_id with several texts joins no components by that; a null doc_id links like any other and
+gets the smallest doc_id it reaches, null if there is none; empty tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,45 +26,55 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evoked.llm.common import checkpoint, table
+from evoked.llm.common import checkpoint, hinted, table
 
 SEED = 42
 #: Rows that meet are compared in blocks of so many at a time.
-BLOCK = 4096
+BLOCK = 65_536
+#: Keys that the links of one node are dealt over.
+SALTS = 16
+#: At most so many rows are broadcast: some 50 MB.
+BROADCAST_ROWS = 500_000
 #: Shingles of a text whose bits are counted at a time.
 CHUNK = 65_536
 
 
-def fingerprint(text: str | None, shingle: int, n_words: int = 1) -> list[int]:
-    """``n_words`` 64-bit words, word i from XXH64 with seed 42 + i over lower-cased shingles, repeats included."""
+def spans(text: str | None, shingle: int) -> tuple[bytes, list[tuple[int, int]]]:
+    """The lower-cased words joined by spaces, and where its shingles are."""
     tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not tokens:
-        return [0] * n_words
-    joined, size = b" ".join(tokens), len(tokens)
-    k = min(shingle, size)
+        return b"", []
+    size, k = len(tokens), min(shingle, len(tokens))
     ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, size) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
-    spans = list(zip(starts[: size - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True))
-    out = []
-    for i in range(n_words):
-        digest, seed, counts = xxhash.xxh64_intdigest, SEED + i, np.zeros(64, np.int64)
-        for at in range(0, len(spans), CHUNK):
-            h = np.array([digest(joined[a:b], seed) for a, b in spans[at : at + CHUNK]], dtype="<u8")
-            counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-        out.append(int.from_bytes(np.packbits(counts * 2 > len(spans), bitorder="little").tobytes(), "little"))
-    return out
+    return b" ".join(tokens), list(zip(starts[: size - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True))
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4, n_words: int = 1) -> DataFrame:
-    """(doc_id, f0, ...): the fingerprint's words as signed longs."""
-    cols = [f"f{i}" for i in range(n_words)]
+def majority(hashes) -> int:
+    """The bits set in over half of all hashes, which come in arrays of unsigned longs."""
+    counts, n = np.zeros(64, np.int64), 0
+    for h in hashes:
+        counts += np.unpackbits(h.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        n += len(h)
+    return int.from_bytes(np.packbits(counts * 2 > n, bitorder="little").tobytes(), "little") if n else 0
+
+
+def fingerprint(text: str | None, shingle: int) -> int:
+    """Over the XXH64 hashes (seed 42) of lower-cased shingles, repeats included."""
+    joined, at = spans(text, shingle)
+    digest = xxhash.xxh64_intdigest
+    return majority(np.array([digest(joined[a:b], SEED) for a, b in at[i : i + CHUNK]], dtype=np.uint64) for i in range(0, len(at), CHUNK))
+
+
+def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
+    """(doc_id, f): the fingerprint as a signed long."""
 
     def make(batches):
         for b in batches:
-            f = np.array([fingerprint(t, shingle, n_words) for t in b["text"]], dtype=np.uint64).reshape(len(b), n_words).view(np.int64)
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64")} | {c: f[:, i] for i, c in enumerate(cols)})
+            f = np.array([fingerprint(t, shingle) for t in b["text"]], dtype=np.uint64).view(np.int64)
+            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "f": f})
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(make, "doc_id long, " + ", ".join(f"{c} long" for c in cols))
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(make, "doc_id long, f long")
 
 
 def cuts(bits: int, segments: int) -> list[tuple[int, int]]:
@@ -70,46 +83,39 @@ def cuts(bits: int, segments: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
 
 
-def variant_keys(fps: DataFrame, n_words: int, segments: int) -> DataFrame:
-    """(key, node, f0, ...): a row for each segment and wildcard bit of each fingerprint."""
+def variant_keys(prints: DataFrame, segments: int) -> DataFrame:
+    """(key, node, f): a row for each segment and wildcard bit of each fingerprint."""
     keys, place = [], 0
-    for first, width in cuts(64 * n_words, segments):
-        word, low = divmod(first, 64)
-        part = f"shiftrightunsigned(f{word}, {low})"
-        if low + width > 64:
-            part = f"({part} | shiftleft(f{word + 1}, {64 - low}))"
+    for first, width in cuts(64, segments):
         for bit in range(width):
             mask = ((1 << width) - 1) & ~(1 << bit)
-            keys.append(f"xxhash64({place}, {part} & {mask}L)")
+            keys.append(f"xxhash64({place}, shiftrightunsigned(f, {first}) & {mask}L)")
             place += 1
-    return fps.select("node", *(f"f{i}" for i in range(n_words)), F.expr(f"explode(array({', '.join(keys)}))").alias("key"))
+    return prints.select("node", "f", F.expr(f"explode(array({', '.join(keys)}))").alias("key"))
 
 
 def _forest(f: np.ndarray, nodes: np.ndarray, distance: int) -> tuple[list, list]:
-    """Links to the smallest node of each part of what met; f: rows of words."""
-    order = np.argsort(nodes, kind="stable")
-    f, nodes = f[order], nodes[order]
+    """Links that connect each part of what met; both ends of a link are within the distance."""
     left, a, b = np.arange(len(nodes)), [], []
     while len(left) > 1:
-        root, frontier, left = nodes[left[0]], [left[0]], left[1:]
+        frontier, left = [left[0]], left[1:]
         while frontier and len(left):
             at, near = frontier.pop(), []
-            for i in range(0, len(left), BLOCK * 16):
-                part = left[i : i + BLOCK * 16]
-                near.append(np.bitwise_count(f[part] ^ f[at]).sum(1, dtype=np.int64) <= distance)
+            for i in range(0, len(left), BLOCK):
+                near.append(np.bitwise_count(f[left[i : i + BLOCK]] ^ f[at]) <= distance)
             near = np.concatenate(near)
             if near.any():
                 reached = left[near]
                 a.extend(nodes[reached].tolist())
-                b.extend([root] * len(reached))
+                b.extend([nodes[at]] * len(reached))
                 frontier.extend(reached.tolist())
                 left = left[~near]
     return a, b
 
 
-def links(fps: DataFrame, n_words: int, segments: int, distance: int) -> DataFrame:
-    """(a, b), b < a: links that connect the nodes of ``fps`` (node, f0, ...) as all pairs within ``distance`` do."""
-    cols = [f"f{i}" for i in range(n_words)]
+def links(prints: DataFrame, distance: int, segments: int | None = None) -> DataFrame:
+    """(a, b), b < a: pairs of ``prints`` (node, f) within ``distance`` that connect all such pairs. With ``segments`` unset
+    there are as many as the guarantee takes: distance // 2 + 1."""
 
     def small_groups(key, node, f):
         """Groups as runs of equal keys, compared at growing lags; large groups are searched breadth first."""
@@ -117,35 +123,34 @@ def links(fps: DataFrame, n_words: int, segments: int, distance: int) -> DataFra
         size = np.diff(edge)
         a, b = [], []
         for s, n in zip(edge[:-1][size > 16].tolist(), size[size > 16].tolist(), strict=True):
-            x, y = _forest(f[s : s + n], node[s : s + n], distance)
-            a.append(np.array(x, np.int64))
-            b.append(np.array(y, np.int64))
+            x, y = map(lambda v: np.array(v, np.int64), _forest(f[s : s + n], node[s : s + n], distance))
+            a.append(np.maximum(x, y))
+            b.append(np.minimum(x, y))
         fit = np.repeat(size <= 16, size)
         key, node, f = key[fit], node[fit], f[fit]
         for lag in range(1, min(16, len(key))):
             same = np.flatnonzero(key[lag:] == key[:-lag])
             if not len(same):
                 break
-            near = same[np.bitwise_count(f[same] ^ f[same + lag]).sum(1, dtype=np.int64) <= distance]
+            near = same[np.bitwise_count(f[same] ^ f[same + lag]) <= distance]
             a.append(np.maximum(node[near], node[near + lag]))
             b.append(np.minimum(node[near], node[near + lag]))
-        return np.concatenate([np.empty(0, np.int64), *a]), np.concatenate([np.empty(0, np.int64), *b])
+        return pd.DataFrame({"a": np.concatenate([np.empty(0, np.int64), *a]), "b": np.concatenate([np.empty(0, np.int64), *b])}).drop_duplicates()
 
     def meet(batches):
         held = None
         for batch in batches:
-            part = (batch["key"].to_numpy(), batch["node"].to_numpy(), batch[cols].to_numpy().view(np.uint64))
+            part = (batch["key"].to_numpy(), batch["node"].to_numpy(), batch["f"].to_numpy().view(np.uint64))
             held = part if held is None else tuple(np.concatenate(x) for x in zip(held, part, strict=True))
             cut = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
             if cut:
-                a, b = small_groups(*(x[:cut] for x in held))
+                found = small_groups(*(x[:cut] for x in held))
                 held = tuple(x[cut:].copy() for x in held)
-                yield pd.DataFrame({"a": a, "b": b}).drop_duplicates()
+                yield found
         if held is not None and len(held[0]):
-            a, b = small_groups(*held)
-            yield pd.DataFrame({"a": a, "b": b}).drop_duplicates()
+            yield small_groups(*held)
 
-    rows = variant_keys(fps, n_words, segments).select("key", "node", *cols).repartition("key").sortWithinPartitions("key")
+    rows = variant_keys(prints, segments or distance // 2 + 1).select("key", "node", "f").repartition("key").sortWithinPartitions("key")
     return rows.mapInPandas(meet, "a long, b long").where("a <> b").distinct()
 
 
@@ -154,13 +159,18 @@ def components(edges: DataFrame) -> DataFrame:
     every node's larger neighbours, then its smaller ones, are linked with its smallest one, until nothing changes."""
     edges = checkpoint(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     digest = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+
+    def with_least(rows: DataFrame, least: DataFrame) -> DataFrame:
+        dealt = least.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        return rows.withColumn("_salt", F.pmod(F.xxhash64("b"), F.lit(SALTS))).join(dealt, ["a", "_salt"]).drop("_salt")
+
     before = digest(edges)
     while before[0]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = with_least(both.where("b > a"), least).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+        joined = with_least(large, least).select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
         edges = checkpoint(joined.where("a <> b").distinct())
         after = digest(edges)
         if after == before:
@@ -169,17 +179,21 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def near_groups(docs: DataFrame, shingle: int = 4, n_words: int = 1, distance: int = 4, segments: int | None = None) -> DataFrame:
-    """(doc_id, f0, ..., component_id). With ``segments`` unset there are as many as the guarantee takes: distance // 2 + 1.
-    Fewer than that find all links up to 2 * segments - 1 bits, and beyond those the ones that chance brings together."""
-    cols = [f"f{i}" for i in range(n_words)]
-    prints = checkpoint(fingerprints(docs, shingle, n_words))
-    unlike = prints.groupBy(*cols).agg(F.min("doc_id").alias("node")).where("node IS NOT NULL")
-    found = components(links(unlike, n_words, segments or distance // 2 + 1, distance))
-    named = unlike.join(found, "node", "left").select(*cols, F.coalesce("root", "node").alias("component_id"))
-    return prints.join(named, cols, "left")
+def near_groups(docs: DataFrame, shingle: int = 4, distance: int = 4) -> DataFrame:
+    """(doc_id, f, component_id), a row for each row of ``docs``."""
+    prints = checkpoint(fingerprints(docs, shingle))
+    unlike = checkpoint(prints.groupBy("f").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
+    found = components(links(unlike.select(F.col("f").alias("node"), "f"), distance)).select(F.col("node").alias("f"), "root")
+    members = checkpoint(found.unionByName(found.select(F.col("root").alias("f"), "root").distinct()))
+    # Most fingerprints are one document's and near no other; only the rest needs a name.
+    rooted = unlike.join(hinted(members, BROADCAST_ROWS), "f", "left").where("n > 1 OR root IS NOT NULL")
+    rooted = checkpoint(rooted.select("f", "least", F.coalesce("root", "f").alias("root")))
+    names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = checkpoint(rooted.select("f", "root").join(names, "root").select("f", "component_id", F.lit(True).alias("_named")))
+    out = prints.join(hinted(named, BROADCAST_ROWS), "f", "left")
+    return out.select("doc_id", "f", F.when(F.col("_named"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     out = near_groups(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
+    return out.select("doc_id", F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "component_id")
