@@ -1,8 +1,11 @@
 """Chat formatting by schema fingerprints, in DataFrame operations only.
 
-Records come as JSON texts of any layout. A record's fingerprint is the hash of its nested field paths: the schema of the
-parsed record with all leaf types taken out, so that a null or a number in place of a text does not matter. The
-fingerprint picks a declarative mapping (``MAPPINGS``), which says where turns are found and what their roles are.
+Records come in any layout, either as JSON texts or as structs, a column for each layout of which a row fills one. A record's
+fingerprint is the hash of its nested field paths: the schema of the record with all leaf types taken out, so that a null
+or a number in place of a text does not matter. The fingerprint picks a declarative mapping (``MAPPINGS``), which says where
+turns are found and what their roles are. Fingerprints of structs come from the table's schema, and their texts are carried
+as columns and never parsed. JSON records that the variant parser does not take, such as ones of many million characters,
+are read again by a parser without limits, into maps from field to raw JSON, level by level as the mappings need.
 
 Each turn is rendered as ``<turn ROLE>``, newline, text, ``</turn>``, newline. Within a text a backslash becomes ``\\e``
 and the ``<`` of ``<turn`` or ``</turn`` becomes ``\\l``; within a role, ``>`` also becomes ``\\g``. So control strings
@@ -10,9 +13,10 @@ never stand in a text, the formatted conversation splits at them exactly, and un
 
 Turns are escaped and measured where they are read; only the last step gathers a conversation, which is one row.
 
-Cases: null text or role: empty; turns with equal numbers are ordered by role, then text; repeated rows are turns of
-their own; records that are null or not JSON, or whose fingerprint no mapping has, give no turns and are found by
-``unmapped``; empty tables give no rows; extra fields in a record change its fingerprint and need a mapping of their own
+Cases: null text or role: empty; texts of any length are kept whole, as long as a conversation fits a row of Spark (2^31
+bytes); turns with equal numbers are ordered by role, then text; repeated rows are turns of their own; a null key is a
+conversation of its own; records that are null or not JSON, or whose fingerprint no mapping has, give no turns and are found
+by ``unmapped``; empty tables give no rows; extra fields in a record change its fingerprint and need a mapping of their own
 (``mapping``), extra columns are ignored.
 """
 
@@ -23,6 +27,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, StructType
 
 from evoked.llm.common import table
 
@@ -77,31 +82,104 @@ def fingerprint(record: Column) -> Column:
     return F.xxhash64(F.regexp_replace(F.schema_of_variant(record), leaves, ""))
 
 
-def _text(record: str, path: str) -> str:
-    return f"coalesce(try_variant_get({record}, '$.{path}', 'string'), '')"
+def struct_skeleton(kind: DataType) -> str:
+    """The same text for a struct type: its field paths without leaf types."""
+    if isinstance(kind, StructType):
+        return "OBJECT<" + ", ".join(f"{f.name}: {struct_skeleton(f.dataType)}" for f in sorted(kind.fields, key=lambda f: f.name)) + ">"
+    return f"ARRAY<{struct_skeleton(kind.elementType)}>" if isinstance(kind, ArrayType) else ""
 
 
-def _turns(m: Mapping) -> Column:
-    kind = "array<struct<n:bigint,role:string,text:string>>"
+_TURNS = "array<struct<n:bigint,role:string,text:string>>"
+
+
+def _turn_array(m: Mapping, field, items, whole) -> Column:
+    """The turns that ``m`` finds. field(record, name): a text, or empty; items(name): SQL of an array of records; whole(name):
+    a number."""
     if m.each is None:
-        parts = ", ".join(f"struct({i}L AS n, '{role}' AS role, {_text('rec', path)} AS text)" for i, (role, path) in enumerate(m.turns))
-        return F.expr(f"CAST(array({parts}) AS {kind})")
-    (role, path), first = m.turns[0], f"coalesce(try_variant_get(rec, '$.{m.first}', 'bigint'), 0L)" if m.first else "0L"
+        parts = ", ".join(f"struct({i}L AS n, '{role}' AS role, {field('rec', path)} AS text)" for i, (role, path) in enumerate(m.turns))
+        return F.expr(f"CAST(array({parts}) AS {_TURNS})")
+    (role, path), first = m.turns[0], f"coalesce({whole(m.first)}, 0L)" if m.first else "0L"
     if not m.each:
-        return F.expr(f"CAST(array(struct({first} AS n, {_text('rec', role)} AS role, {_text('rec', path)} AS text)) AS {kind})")
-    items = f"CAST(try_variant_get(rec, '$.{m.each}', 'array<variant>') AS array<variant>)"
-    return F.expr(f"CAST(transform({items}, (x, i) -> struct({first} + i AS n, {_text('x', role)} AS role, {_text('x', path)} AS text)) AS {kind})")
+        return F.expr(f"CAST(array(struct({first} AS n, {field('rec', role)} AS role, {field('rec', path)} AS text)) AS {_TURNS})")
+    return F.expr(f"CAST(transform({items(m.each)}, (x, i) -> struct({first} + i AS n, {field('x', role)} AS role, {field('x', path)} AS text)) AS {_TURNS})")
 
 
-def canonical_turns(records: DataFrame, key: str = "conv_id", record: str = "record", mappings=MAPPINGS) -> DataFrame:
-    """(key, n, role, text): the turns of all records that a mapping fits."""
-    parsed = records.select(key, F.try_parse_json(record).alias("rec")).where("rec IS NOT NULL").withColumn("print", fingerprint(F.col("rec")))
-    chosen = None
+def _variant_turns(m: Mapping) -> Column:
+    return _turn_array(
+        m, lambda r, p: f"coalesce(try_variant_get({r}, '$.{p}', 'string'), '')",
+        lambda p: f"CAST(try_variant_get(rec, '$.{p}', 'array<variant>') AS array<variant>)", lambda p: f"try_variant_get(rec, '$.{p}', 'bigint')",
+    )
+
+
+def _struct_turns(m: Mapping) -> Column:
+    return _turn_array(m, lambda r, p: f"coalesce(CAST({r}.`{p}` AS string), '')", lambda p: f"rec.`{p}`", lambda p: f"CAST(rec.`{p}` AS bigint)")
+
+
+def _map_turns(m: Mapping) -> Column:
+    return _turn_array(
+        m, lambda r, p: f"coalesce({r}['{p}'], '')", lambda p: f"from_json(rec['{p}'], 'array<map<string,string>>', map('maxStringLen', '{_NO_LIMIT}'))",
+        lambda p: f"TRY_CAST(rec['{p}'] AS bigint)",
+    )
+
+
+_NO_LIMIT = 2**31 - 1
+
+
+def _map_fits(m: Mapping) -> Column:
+    """Whether a record read into a map has the field paths of ``m``: those of the record and, below ``each``, of its elements."""
+    def same(fields: str, paths) -> str:
+        return f"array_sort({fields}) = array_sort(array({', '.join(repr(p) for p in paths)}))"
+
+    top = sorted({p.split(".")[0].removesuffix("[]") for p in m.paths})
+    fits = same("map_keys(rec)", top)
+    if m.each:
+        below = [p.split(".", 1)[1] for p in m.paths if p.startswith(f"{m.each}[].")]
+        items = f"from_json(rec['{m.each}'], 'array<map<string,string>>', map('maxStringLen', '{_NO_LIMIT}'))"
+        fits += f" AND coalesce(forall({items}, x -> {same('map_keys(x)', below)}), false)"
+    return F.expr(fits)
+
+
+def _chosen(mappings, fits, turns) -> Column:
+    chosen = F.when(F.lit(False), F.lit(None).cast(_TURNS))
     for m in mappings:
-        here = F.col("print") == F.xxhash64(F.lit(_skeleton(m.paths)))
-        chosen = F.when(here, _turns(m)) if chosen is None else chosen.when(here, _turns(m))
-    turns = parsed.select(key, F.explode(chosen).alias("t")).select(key, "t.n", "t.role", "t.text")
-    return turns.replace(ROLES, subset=["role"])
+        chosen = chosen.when(fits(m), turns(m))
+    return chosen
+
+
+def _canonical(rows: DataFrame, key: str) -> DataFrame:
+    turns = rows.select(key, F.explode("turns").alias("t")).select(key, F.col("t.n").alias("n"), F.col("t.role").alias("role"), F.col("t.text").alias("text"))
+    names = F.create_map(*(F.lit(x) for pair in ROLES.items() for x in pair))
+    return turns.withColumn("role", F.coalesce(F.try_element_at(names, F.col("role")), F.col("role")))
+
+
+def canonical_turns(records: DataFrame, key: str = "conv_id", record: str = "record", mappings=MAPPINGS) -> DataFrame:
+    """(key, n, role, text): the turns of all JSON records that a mapping fits."""
+    rows = records.select(key, F.try_parse_json(record).alias("rec"), F.col(record).alias("json"))
+    parsed = rows.where("rec IS NOT NULL").withColumn("print", fingerprint(F.col("rec")))
+    parsed = parsed.select(key, _chosen(mappings, lambda m: F.col("print") == F.xxhash64(F.lit(_skeleton(m.paths))), _variant_turns).alias("turns"))
+    left = rows.where("rec IS NULL AND json IS NOT NULL").select(key, F.expr(f"from_json(json, 'map<string,string>', map('maxStringLen', '{_NO_LIMIT}'))").alias("rec"))
+    left = left.where("rec IS NOT NULL").select(key, _chosen(mappings, _map_fits, _map_turns).alias("turns"))
+    return _canonical(parsed.unionByName(left), key)
+
+
+def struct_turns(records: DataFrame, key: str = "conv_id", mappings=MAPPINGS) -> DataFrame:
+    """(key, n, role, text): the turns of all records in the struct columns of ``records``. A column's fingerprint picks its
+    mapping; columns without one are left out (``unmapped_structs``)."""
+    known, out = {_skeleton(m.paths): m for m in mappings}, None
+    for f in records.schema.fields:
+        m = known.get(struct_skeleton(f.dataType)) if isinstance(f.dataType, StructType) else None
+        if m:
+            part = _canonical(records.where(F.col(f"`{f.name}`").isNotNull()).select(key, F.col(f"`{f.name}`").alias("rec")).select(key, _struct_turns(m).alias("turns")), key)
+            out = part if out is None else out.unionByName(part)
+    if out is None:
+        raise ValueError("no struct column has the layout of a mapping")
+    return out
+
+
+def unmapped_structs(records: DataFrame, mappings=MAPPINGS) -> dict[str, str]:
+    """Struct columns that no mapping fits, with their field paths."""
+    known = {_skeleton(m.paths) for m in mappings}
+    return {f.name: s for f in records.schema.fields if isinstance(f.dataType, StructType) and (s := struct_skeleton(f.dataType)) not in known}
 
 
 def unmapped(records: DataFrame, record: str = "record", mappings=MAPPINGS) -> DataFrame:
@@ -153,10 +231,10 @@ def read_back(formatted: Column) -> Column:
 
 def query(spark, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations")
-    records = rows.select(F.col("conv_id").cast("long"), F.to_json(F.struct("turn", "role", F.coalesce("text", F.lit("")).alias("text")), {"ignoreNullFields": "false"}).alias("record"))
-    same = r"\### Assistant: </turn> ok"
-    extra = spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), F.to_json(F.struct(F.lit(same).alias("prompt"), F.lit(same).alias("completion"))).alias("record"))
-    out = render(canonical_turns(records.unionByName(extra)))
+    same = F.lit(r"\### Assistant: </turn> ok")
+    turns = rows.select(F.col("conv_id").cast("long"), F.struct(F.col("turn").cast("long").alias("turn"), "role", "text").alias("as_turn"))
+    extra = spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), F.struct(same.alias("prompt"), same.alias("completion")).alias("as_prompt"))
+    out = render(struct_turns(turns.unionByName(extra, allowMissingColumns=True)))
     out = out.select("conv_id", "formatted", "segments", read_back(F.col("formatted")).alias("turns"))
     flat = F.array_join(F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
     loss = F.array_join(F.transform(F.filter(F.arrays_zip("turns", "segments"), lambda z: z.segments.loss), lambda z: z.turns.text), "")
