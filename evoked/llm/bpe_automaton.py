@@ -1,20 +1,24 @@
-"""BPE encoding and decoding by an automaton compiled from the merges.
+"""BPE encoding and decoding by a deterministic automaton compiled from the merges.
 
-The automaton reads tokens; a path spells exactly the token sequences that BPE produces. It starts with one state and an
+First an automaton over tokens: a path spells exactly the token sequences that BPE produces. It starts with one state and an
 arc for each byte. Each merge (u, v), in order, adds a gadget: all arcs labelled u lead from now on to states that have no
-arc v, and every state from which u and then v could be read gets an arc uv to where v led. So the state depends on the
-last token alone, and gadgets never have to be copied: ``Automaton.follows`` looks an arc up in the tables of gadgets, by
-going back to the merge that brought it, and keeps the answer in the transition table.
+arc v, and every state from which u and then v could be read gets an arc uv to where v led. The state after a token depends
+on the token alone, and differs from the one it was copied from by the gadgets added since, so rows of arcs are kept as those
+differences, in arrays by token (``left``, ``right``, ``rank``) and a table of pairs; ``Automaton.follows`` reads a row.
 
-A word is encoded byte by byte: for each prefix the table gives the one token that its path ends with. Words are cached,
-and all that a text needs is then one lookup a word. Decoding emits the labels of the arcs, token by token.
+Then the automaton over bytes: spelling out each arc, and making the result deterministic. A state is the set of arcs that
+may be under way (the token before, and how far the arc is spelled); its label is the token that ends here, of which there is
+always exactly one. All states that the labels of the vocabulary lead through are compiled once, on the driver, into a
+transition table; states that only other words lead to are added to a worker's table as they are met, and dropped again
+when there are ``MORE_STATES`` of them. A word is encoded by one transition a byte; the tokens are then read off backwards,
+from the label of the last state. Decoding emits the labels of the arcs, token by token.
 
-The tables are compiled from the vocabulary file on the driver (its size is that of the file, whatever the corpus) and
-broadcast; executors never open it.
+The tables' size is that of the vocabulary file, whatever the corpus; they are broadcast, and executors never open the file.
+Words are cached, so most of what a text needs is one lookup a word.
 
 Cases: null is encoded like the empty text: no tokens; special tokens in a text become their ids, as the tokenizers
-library has it; words of any length take time in proportion to their length; an empty table gives no rows; the columns
-of the input stay.
+library has it; texts and words of any length take time in proportion to their length; repeated rows are encoded each by
+itself; an empty table gives no rows; the columns of the input stay, but for one named like the output.
 """
 
 from __future__ import annotations
@@ -34,8 +38,10 @@ from evoked.llm.common import table
 
 #: Fixed: how byte-level BPE splits texts; L, N and S stand for the classes of letters, numbers and white space.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[L]+| ?[N]+| ?[^SLN]+|[S]+(?![^S])|[S]+"
-#: Words, and as many pieces, that a Python worker keeps, at most about 80 MB; arcs, some 25 MB.
-CACHED_WORDS, CACHED_ARCS = 120_000, 200_000
+#: Words, and as many pieces, that a Python worker keeps, at most about 80 MB.
+CACHED_WORDS = 120_000
+#: States that a worker adds to the compiled ones, some 60 MB.
+MORE_STATES = 100_000
 #: Longer words are not cached.
 CACHED_CHARS = 40
 
@@ -97,75 +103,142 @@ def compile_merges(path: str) -> dict:
             left[t], right[t], rank[t] = a, b, r
     classes = char_classes(path)
     pattern = "".join(classes.get(c, c) for c in PATTERN)
-    ids = {labels[i]: i for i in vocab.values() if i not in specials.values()}
-    return {"labels": labels, "left": left, "right": right, "rank": rank, "pairs": pairs, "ids": ids, "specials": specials, "pattern": pattern, "space": classes["S"]}
+    tables = {"labels": labels, "left": left, "right": right, "rank": rank, "pairs": pairs, "specials": specials, "pattern": pattern, "space": classes["S"]}
+    tables["real"] = _real(tables)
+    return tables | _spelled(labels, [i for i in vocab.values() if i not in specials.values() and tables["real"][i]]) | {"states": [(0,)], "ends": [-1], "table": {}} | _compiled(tables, vocab, specials)
+
+
+def _open(tables: dict, a: int, b: int, before: int) -> bool:
+    """Whether, after the gadgets of the merges up to ``before``, the state after token a has an arc b."""
+    rank, pairs, left, right = tables["rank"], tables["pairs"], tables["left"], tables["right"]
+    while True:
+        if pairs.get((a, b), before) < before:
+            return False
+        if rank[a] < 0 and rank[b] < 0:
+            return True
+        if rank[a] > rank[b]:  # token a led where its right part led
+            before, a = rank[a], right[a]
+        else:  # arc b was added where its left part could be read; u, u is merged from the left, so not after a single u
+            before, b = rank[b] + 1, left[b]
+
+
+def _real(tables: dict) -> list[bool]:
+    """The tokens with arcs: those whose own merge could be read when it came."""
+    left, right, rank = tables["left"], tables["right"], tables["rank"]
+    real = [True] * len(rank)
+    for t in sorted((i for i, r in enumerate(rank) if r >= 0), key=rank.__getitem__):
+        real[t] = real[left[t]] and real[right[t]] and _open(tables, left[t], right[t], rank[t])
+    return real
+
+
+def _spelled(labels: list[bytes], tokens: list[int]) -> dict:
+    """The arcs spelled out: step, from place * 256 + byte to the place after it; and the token, if any, that ends at a place.
+    The place before any byte is 0."""
+    step, token = {}, [-1]
+    for t in tokens:
+        at = 0
+        for byte in labels[t]:
+            key = at << 8 | byte
+            if key not in step:
+                step[key] = len(token)
+                token.append(-1)
+            at = step[key]
+        token[at] = t
+    return {"step": step, "token": token}
+
+
+def _compiled(tables: dict, vocab: dict, specials: dict) -> dict:
+    """States, ends and table of the byte automaton, for all that the vocabulary's labels lead through."""
+    own = {i for i in vocab.values() if i not in specials.values() and tables["real"][i]}
+    spelled = _spelled(tables["labels"], sorted(own))
+    a = Automaton(tables | spelled | {"states": [(0,)], "ends": [-1], "table": {}})
+    for t in sorted(own):
+        a.run(tables["labels"][t])
+    return {"states": a.states, "ends": a.ends, "table": a.table}
 
 
 class Automaton:
-    """The compiled automaton with its transition table, which fills as arcs are asked for."""
+    """The compiled automaton. A state is a sorted tuple of (token before + 1) * 2^24 + place, an arc under way each."""
 
     def __init__(self, tables: dict):
-        self.labels, self.ids, self.specials = tables["labels"], tables["ids"], tables["specials"]
-        self.left, self.right, self.rank, self.pairs = tables["left"], tables["right"], tables["rank"], tables["pairs"]
+        self.tables, self.labels, self.specials, self.real = tables, tables["labels"], tables["specials"], tables["real"]
+        self.sizes = list(map(len, self.labels))
+        self.step, self.token = tables["step"], tables["token"]
+        self.states, self.ends, self.table = list(tables["states"]), list(tables["ends"]), dict(tables["table"])
+        self.compiled = len(self.states)
+        self.known = {x: i for i, x in enumerate(self.states)}
         self.arcs: dict[tuple[int, int], bool] = {}
         self.words: dict[str, tuple[int, ...]] = {}
         self.pieces: dict[str, tuple[int, ...]] = {}
-        self.reach: dict[bytes, int] = {}  # the longest label that begins with these bytes
-        for label in self.ids:
-            self.reach[label[:5]] = max(self.reach.get(label[:5], 0), len(label))
         self.split, self.odd_space = re.compile(tables["pattern"]).findall, re.compile(rf" (?:[{tables['space']}]|$)").search
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(self.specials, key=len, reverse=True))) + ")") if self.specials else None
-        # A token has arcs at all only if its own merge could be read when it came.
-        self.real = [True] * len(self.labels)
-        for t in sorted((i for i, r in enumerate(self.rank) if r >= 0), key=self.rank.__getitem__):
-            a, b = self.left[t], self.right[t]
-            self.real[t] = self.real[a] and self.real[b] and self._open(a, b, self.rank[t])
-
-    def _open(self, a: int, b: int, before: int) -> bool:
-        """Whether, after the gadgets of the merges up to ``before``, the state after token a has an arc b."""
-        rank, pairs = self.rank, self.pairs
-        while True:
-            if pairs.get((a, b), before) < before:
-                return False
-            if rank[a] < 0 and rank[b] < 0:
-                return True
-            if rank[a] > rank[b]:  # token a led where its right part led
-                before, a = rank[a], self.right[a]
-            else:  # arc b was added where its left part could be read; u, u is merged from the left, so not after a single u
-                before, b = rank[b] + 1, self.left[b]
 
     def follows(self, a: int, b: int) -> bool:
+        """Whether the state after token a (-1: at the beginning) has an arc b."""
         known = self.arcs.get((a, b))
         if known is None:
-            if len(self.arcs) >= CACHED_ARCS:
+            if len(self.arcs) >= MORE_STATES:
                 self.arcs.clear()
-            known = self.arcs[a, b] = self.real[b] and (a < 0 or self._open(a, b, len(self.pairs) + 1))
+            known = self.arcs[a, b] = self.real[b] and (a < 0 or _open(self.tables, a, b, len(self.tables["pairs"]) + 1))
         return known
 
+    def _next(self, state: int, byte: int) -> int:
+        """A transition that is not in the table yet."""
+        after, end, step, token = [], -1, self.step, self.token
+        for arc in self.states[state]:
+            place = step.get((arc & 0xFFFFFF) << 8 | byte)
+            if place is not None:
+                before = arc >> 24
+                after.append(before << 24 | place)
+                if token[place] >= 0 and self.follows(before - 1, token[place]):
+                    end = token[place]
+        after.append(end + 1 << 24)
+        key = tuple(sorted(after))
+        to = self.known.get(key)
+        if to is None:
+            to = self.known[key] = len(self.states)
+            self.states.append(key)
+            self.ends.append(end)
+        self.table[state << 8 | byte] = to
+        return to
+
+    def _forget(self, state: int) -> int:
+        """Back to the compiled states and ``state``, which gets a new number."""
+        n, held = self.compiled, (self.states[state], self.ends[state])
+        for key in self.states[n:]:
+            del self.known[key]
+        del self.states[n:], self.ends[n:]
+        self.table = {k: v for k, v in self.table.items() if v < n and k >> 8 < n}
+        if state < n:
+            return state
+        self.known[held[0]] = n
+        self.states.append(held[0])
+        self.ends.append(held[1])
+        return n
+
+    def run(self, word: bytes) -> list[int]:
+        """The label of the state after each byte: the token that ends there."""
+        state, get, ends, out = 0, self.table.get, self.ends, []
+        for byte in word:
+            to = get(state << 8 | byte)
+            if to is None:
+                if len(self.states) >= self.compiled + MORE_STATES:
+                    state = self._forget(state)
+                    get = self.table.get
+                to = self._next(state, byte)
+            state = to
+            out.append(ends[to])
+        return out
+
     def encode_word(self, word: bytes) -> tuple[int, ...]:
-        """The one path that spells ``word``: longest arcs first, going back where the table has no arc on. The path to
-        each place in the word is unique too, so a place that led nowhere is not tried again."""
-        get, arcs, reach, n = self.ids.get, self.arcs, self.reach, len(word)
-        out, ends, dead, top = [-1], [0], set(), True
-        while ends[-1] < n:
-            at = ends[-1]
-            k = min(reach.get(word[at : at + 5], 4), n - at) if top else k  # noqa: F821
-            while k:
-                if at + k not in dead and (t := get(word[at : at + k])) is not None:
-                    ok = arcs.get((out[-1], t))
-                    if self.follows(out[-1], t) if ok is None else ok:
-                        break
-                k -= 1
-            if k:
-                out.append(t)
-                ends.append(at + k)
-                top = True
-            else:
-                dead.add(at)
-                k = ends.pop() - ends[-1] - 1
-                out.pop()
-                top = False
-        return tuple(out[1:])
+        ends, sizes, out = self.run(word), self.sizes, []
+        at = len(word)
+        while at:
+            t = ends[at - 1]
+            out.append(t)
+            at -= sizes[t]
+        out.reverse()
+        return tuple(out)
 
     def encode_piece(self, piece: str) -> tuple[int, ...]:
         out: list[int] = []
