@@ -2,16 +2,20 @@
 
 Four kinds of evidence about a text add up as logarithms: the likelihood of its byte trigrams (hashed), the language that
 its markup declares, the suffix of its address, and the prior of its host. Likelihoods are fitted on a bounded sample of
-texts with a declared language; how far declarations and suffixes can be trusted is counted over all rows, against the
+texts with a declared language, whole, whatever their length; how far declarations and suffixes can be trusted is counted over all rows, against the
 languages that the texts alone speak for. A host's prior is its share of those, drawn towards that of its domain,
 and that towards the whole, all by grouped aggregation. Long texts would drown all else: trigrams of one text depend
 on each other, so their mean decides, times at most ``EVIDENCE`` of them.
 
 Pages have all four; documents have text and source, which stands for the host. No label column of documents is read.
 
-Cases: null and empty texts rest on the other evidence; without any evidence the most frequent language wins; declared
-languages that no sample has are unknown; repeated rows keep a row each; empty tables give no rows; without a sample every
-language is "und"; extra columns are ignored.
+Each language that at least ``MIN_TEXTS`` different texts declare has a model of a fixed size, and there are as many as the
+pattern of declarations has codes, 18,252, at most.
+
+Cases: null and empty texts rest on the other evidence; without any evidence the most frequent language wins; texts of any
+length are read whole; languages that too few texts declare have no model, and their declarations are evidence like any
+other value; of languages with equal posteriors the first in the alphabet wins; repeated rows keep a row each, and equal
+texts are fitted on once; empty tables give no rows; without a sample every language is "und"; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,13 +23,14 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evoked.llm.common import checkpoint, lower_ascii, small, table
 from evoked.llm.url_tree import host_and_path
 
-#: Sampled texts for each language, and how many languages at most.
-SAMPLE, LANGUAGES = 300, 50
+#: Texts for each language that are fitted on, at most, and from how many different ones on a language has a model.
+SAMPLE, MIN_TEXTS = 300, 3
 BINS = 1 << 15
 #: Trigrams that count as independent, at most.
 EVIDENCE = 60.0
@@ -55,12 +60,12 @@ def _clean(text: str | None) -> bytes:
 
 
 class TextModel:
-    def __init__(self, samples: list[tuple[str, str]]):
-        self.languages = sorted({lang for lang, _ in samples})
-        self.table = np.zeros((BINS, max(1, len(self.languages))), np.float32)
+    def __init__(self, counts: dict[str, np.ndarray]):
+        """counts: of each language, how often each hashed trigram stands in its sample."""
+        self.languages = sorted(counts)
+        self.table = np.zeros((BINS, max(1, len(counts))), np.float32)
         for k, lang in enumerate(self.languages):
-            grams, _ = _codes([_clean(t) for x, t in samples if x == lang])
-            n = np.bincount(grams, minlength=BINS) + 0.5
+            n = counts[lang] + 0.5
             self.table[:, k] = np.log(n / n.sum())
 
     def log_likelihoods(self, texts: list[str | None]) -> np.ndarray:
@@ -95,18 +100,31 @@ def document_evidence(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text", none.alias("declared"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host"), none.alias("suffix"), F.lit("").alias("domain"))
 
 
-def fit_text(evidence: DataFrame, sample: int = SAMPLE) -> TextModel:
+def fit_text(evidence: DataFrame, sample: int = SAMPLE, min_texts: int = MIN_TEXTS) -> TextModel:
     """From at most ``sample`` different texts of each declared language, those with the smallest hashes. Hashes are chosen
-    first, over all rows; only the texts of those chosen reach the driver, so what it gets does not grow with the corpus."""
+    first, over all rows (each task passes on no more than the sample); the texts of those chosen are counted where they are,
+    and only the counts reach the driver."""
     seen = evidence.where("declared IS NOT NULL").select("declared", "text", F.xxhash64("text").alias("h"))
-    hashes = checkpoint(seen.groupBy("declared", "h").count())
-    names = [r[0] for r in hashes.groupBy("declared").agg(F.sum("count").alias("n")).orderBy(F.desc("n"), "declared").limit(LANGUAGES).collect()]
-    chosen = [(n, r.h) for n in names for r in hashes.where(F.col("declared") == n).orderBy("h").limit(sample).select("h").collect()]
-    if not chosen:
-        return TextModel([])
-    wanted = F.broadcast(evidence.sparkSession.createDataFrame(chosen, "declared string, h long"))
-    texts = seen.join(wanted, ["declared", "h"], "left_semi").groupBy("declared", "h").agg(F.min(F.left("text", F.lit(20_000))).alias("text"))
-    return TextModel([(r.declared, r.text) for r in texts.collect()])
+    hashes = checkpoint(seen.select("declared", "h").distinct())
+    rank = F.row_number().over(W.partitionBy("declared").orderBy("h"))
+    chosen = hashes.withColumn("rank", rank).where(F.col("rank") <= max(sample, min_texts))
+    enough = chosen.groupBy("declared").agg(F.max("rank").alias("n")).where(F.col("n") >= min_texts).select("declared")
+    wanted = checkpoint(chosen.where(F.col("rank") <= sample).join(enough, "declared").select("declared", "h"))
+    texts = seen.join(F.broadcast(wanted), ["declared", "h"], "left_semi").groupBy("declared", "h").agg(F.min("text").alias("text"))
+
+    def count(batches):
+        for b in batches:
+            parts: dict[str, np.ndarray] = {}
+            for lang, text in zip(b["declared"], b["text"], strict=True):
+                parts[lang] = parts.get(lang, 0) + np.bincount(_codes([_clean(text)])[0], minlength=BINS).astype(np.int64)
+            yield pd.DataFrame({"declared": list(parts), "n": [x.tobytes() for x in parts.values()]})
+
+    def add(part: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"declared": part["declared"][:1], "n": [sum(np.frombuffer(x, np.int64) for x in part["n"]).tobytes()]})
+
+    kind = "declared string, n binary"
+    rows = texts.select("declared", "text").mapInPandas(count, kind).groupBy("declared").applyInPandas(add, kind).collect()
+    return TextModel({r.declared: np.frombuffer(r.n, np.int64) for r in rows})
 
 
 def text_posteriors(evidence: DataFrame, model: TextModel) -> DataFrame:
