@@ -1,44 +1,55 @@
 """Toxicity by a linear-chain conditional random field over tokens.
 
-Labels say which documents are toxic. Tokens get theirs from that: counts over all labelled rows (grouped aggregation)
-give each word and each word beginning its smoothed log-odds of standing in toxic documents; in toxic documents, tokens
-whose odds are high are labelled toxic. The field is fitted on a bounded sample of labelled documents (``SAMPLE``); its
-features are those two odds in steps, its states "toxic" and "other". Forward-backward gives each token's marginal;
-runs of toxic tokens are the offending offsets, and a logistic fit turns a document's marginals into its score.
+Labels say which documents are toxic, not which tokens. The field is fitted on a bounded sample of labelled documents: at most
+``SAMPLE`` of either label, chosen by hash among all that may be learnt from, whole, whatever their length. The sample is in two
+folds. Each gives words and word beginnings smoothed log-odds of standing in toxic documents. A token of a toxic document is
+labelled toxic by the odds of the document's own fold; its features are the odds, in steps, that the other fold gives it and
+its beginning. So labels are no threshold of the features, and the field learns what odds are worth on documents they were
+not counted on, and what a neighbour's label is worth besides.
+
+Emissions, bias and transitions are fitted together by maximum likelihood (L-BFGS; gradients from forward-backward) on at
+most ``WINDOWS`` windows of ``LENGTH`` tokens of each document, chosen by hash. For scoring, features come from both folds.
+Forward-backward over the whole text gives each token's marginal; runs of toxic tokens are the offending offsets, and a
+logistic fit turns a document's marginals into its score.
 
 A token without a feature (nearly all) has the same factor everywhere, so a run of n of them is the n-th power of one
 2 x 2 matrix: forward-backward goes over the tokens that have features only, exactly, and whole texts stay cheap.
 
 labels, lang, source and doc_id are never inputs of a score.
 
-Cases: null and empty texts have no tokens and get the score of such a text; labels without a document, null labels and
-repeated labels (the largest counts) are harmless; without labels of both kinds every score is 0; rows that are repeated
-or share doc_id are scored each by itself; empty tables give no rows; the columns of the input stay.
+Cases: null and empty texts have no tokens and get the score of such a text; texts of any length are read whole; labels
+without a document, null labels and repeated labels (the largest counts) are harmless; a labelled doc_id with several texts is
+learnt from by its smallest; without labels of both kinds every score is 0; rows that are repeated or share doc_id are scored
+each by itself; empty tables give no rows; the columns of the input stay, but for those named score and toxic_spans.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evoked.llm.common import checkpoint, table
+from evoked.llm.common import checkpoint, packed, table, unpacked
 
-#: At most so many toxic and as many other documents are fitted on, none longer than SAMPLE_CHARS.
-SAMPLE, SAMPLE_CHARS = 1000, 20_000
-#: Terms (words and beginnings) with odds; the vocabulary of a language grows, this does not.
-MAX_TERMS = 50_000
-#: A term counts from so many toxic documents on, and from such log-odds on.
-MIN_DOCS, MIN_ODDS = 3, 1.5
-#: Odds from which a token of a toxic document is labelled toxic.
+#: At most so many toxic and as many other documents are fitted on: the bound of all that is learnt.
+SAMPLE = 4000
+#: Windows of a sampled document that transitions and emissions are fitted on, and their tokens.
+WINDOWS, LENGTH = 2, 64
+#: A term counts from so many toxic documents of a fold on, and from such log-odds on.
+MIN_DOCS, MIN_ODDS = 2, 1.5
+#: Odds in its own fold from which a token of a toxic document is labelled toxic.
 TOKEN_ODDS = 3.0
 #: Characters in a word's beginning.
 STEM = 5
 THRESHOLD = 0.3
 STEPS = (1.5, 2.0, 2.5, 3.0, 4.0, 5.0)
+#: Strength of the field's prior, per weight.
+RIDGE = 0.05
 #: Letters stay, everything else in ASCII separates tokens.
 _TABLE = bytes(b if b >= 0x80 or chr(b).isalpha() else 0x20 for b in range(256))
 
@@ -53,50 +64,150 @@ def learnable(labels: DataFrame) -> DataFrame:
     return y.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2)
 
 
-def training(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, text, toxic). The join is one of two shuffles at any size: labels grow with the corpus."""
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(learnable(labels).hint("merge"), "doc_id")
-
-
-def sample(docs: DataFrame, labels: DataFrame, n: int = SAMPLE, chars: int = SAMPLE_CHARS) -> list[tuple[str, bool]]:
-    """At most ``n`` (text, toxic) of either label, those with the smallest hashes of doc_id. Ids are chosen first, over
-    all rows; only the texts of those chosen move."""
-    narrow = docs.select("doc_id", F.length(F.coalesce("text", F.lit(""))).alias("n")).where(F.col("n") <= chars).select("doc_id").distinct()
-    known = narrow.join(learnable(labels).hint("merge"), "doc_id")
-    spark, out = docs.sparkSession, []
-    chosen = {r.doc_id: r.toxic for t in (True, False) for r in known.where(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n).collect()}
-    if not chosen:
-        return out
-    ids = F.broadcast(spark.createDataFrame([(i,) for i in chosen], "doc_id long"))
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.length("text") <= chars).join(ids, "doc_id", "left_semi")
-    for r in texts.groupBy("doc_id").agg(F.min("text").alias("text")).orderBy("doc_id").collect():
-        out.append((r.text, bool(chosen[r.doc_id])))
-    return out
+def sample(docs: DataFrame, labels: DataFrame, n: int = SAMPLE) -> tuple[DataFrame, float]:
+    """(doc_id, text, toxic, fold) of at most ``n`` documents of either label, those with the smallest hashes of doc_id; and the
+    share of toxic ones among all that may be learnt from. Ids are chosen first; only the texts of those chosen move."""
+    spark = docs.sparkSession
+    known = checkpoint(docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long")).distinct().join(learnable(labels).hint("merge"), "doc_id"))
+    share = known.agg(F.avg(F.col("toxic").cast("int"))).first()[0] or 0.0
+    chosen = [(r.doc_id, t) for t in (True, False) for r in known.where(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n).collect()]
+    ids = F.broadcast(spark.createDataFrame(chosen, "doc_id long, toxic boolean"))
+    texts = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).join(ids, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    return checkpoint(texts.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(2)).cast("int"))), share
+
 
+def terms_of(toks: list[bytes]) -> set[bytes]:
+    own = set(toks)
+    return own | {t[:STEM] + b"*" for t in own if len(t) > STEM}
 
-def term_odds(train: DataFrame) -> tuple[dict[bytes, float], float]:
-    """The terms that toxic documents have more often than others, with log-odds; and the share of toxic documents.
-    Counted over all of ``train``."""
+
+def term_odds(learnt: DataFrame) -> tuple[dict[bytes, float], dict[bytes, float], dict[bytes, float]]:
+    """Terms that toxic documents have more often than others, with log-odds: by fold 0, by fold 1, and by both."""
 
     def terms(batches):
         for b in batches:
-            seen: dict[bytes, list[int]] = {}
-            totals = [0, 0]
-            for text, toxic in zip(b["text"], b["toxic"], strict=True):
-                totals[bool(toxic)] += 1
-                own = set(tokens(text))
-                for t in own | {t[:STEM] + b"*" for t in own if len(t) > STEM}:
-                    seen.setdefault(t, [0, 0])[bool(toxic)] += 1
-            yield pd.DataFrame([(None, *totals), *((t, *n) for t, n in seen.items())], columns=["term", "other", "bad"])
-
-    counts = train.mapInPandas(terms, "term binary, other long, bad long").groupBy("term").agg(F.sum("other").alias("other"), F.sum("bad").alias("bad"))
-    counts = checkpoint(counts.where(f"term IS NULL OR bad >= {MIN_DOCS}"))
+            seen: dict[tuple, list[int]] = {}
+            for text, toxic, fold in zip(b["text"], b["toxic"], b["fold"], strict=True):
+                for t in (None, *terms_of(tokens(text))):
+                    seen.setdefault((t, fold), [0, 0])[bool(toxic)] += 1
+            yield pd.DataFrame([(*k, *n) for k, n in seen.items()], columns=["term", "fold", "other", "bad"])
+
+    kind = "term binary, fold int, other long, bad long"
+    counts = learnt.select("text", "toxic", "fold").mapInPandas(terms, kind).groupBy("term").pivot("fold", [0, 1]).agg(F.sum("other").alias("other"), F.sum("bad").alias("bad")).fillna(0)
+    counts = checkpoint(counts.where(f"term IS NULL OR greatest(`0_bad`, `1_bad`) >= {MIN_DOCS}"))
     whole = counts.where("term IS NULL").first()
-    if whole is None or not whole.bad or not whole.other:
-        return {}, 0.0
-    odds = F.log((F.col("bad") + 0.5) / (whole.bad + 1.0)) - F.log((F.col("other") + 0.5) / (whole.other + 1.0))
-    rows = counts.where("term IS NOT NULL").select("term", odds.alias("odds")).where(F.col("odds") >= MIN_ODDS)
-    return {bytes(r.term): r.odds for r in rows.orderBy(F.desc("odds"), "term").limit(MAX_TERMS).collect()}, whole.bad / (whole.bad + whole.other)
+    out: list[dict] = []
+    for folds in ((0,), (1,), (0, 1)):
+        bad, other = (sum((F.col(f"{f}_{c}") for f in folds), F.lit(0)) for c in ("bad", "other"))
+        n_bad, n_other = (sum(whole[f"{f}_{c}"] for f in folds) if whole else 0 for c in ("bad", "other"))
+        if not n_bad or not n_other:
+            return {}, {}, {}
+        odds = F.log((bad + 0.5) / (n_bad + 1.0)) - F.log((other + 0.5) / (n_other + 1.0))
+        rows = counts.where("term IS NOT NULL").where(bad > MIN_DOCS - 1 + len(folds) // 2).select("term", odds.alias("odds")).where(F.col("odds") >= MIN_ODDS)
+        out.append({bytes(r.term): r.odds for r in rows.collect()})
+    return tuple(out)
+
+
+def strength(odds: dict[bytes, float], token: bytes) -> float:
+    return max(odds.get(token, 0.0), odds.get(token[:STEM] + b"*", 0.0) if len(token) > STEM else 0.0)
+
+
+def windows(field: Field, odds: dict[bytes, float], text: str, toxic: bool, key: int) -> list[tuple[bytes, bytes, bytes]]:
+    """(features of words, of beginnings, labels) of the document's windows that are fitted on, a byte a token."""
+    toks = tokens(text)
+    starts = sorted(range(0, len(toks), LENGTH), key=lambda i: xxhash.xxh64_intdigest(f"{key} {i}"))[:WINDOWS]
+    out = []
+    for i in starts:
+        part = toks[i : i + LENGTH]
+        at, w, s = field.features(part)
+        words, stems = np.zeros(len(part), np.uint8), np.zeros(len(part), np.uint8)
+        words[at], stems[at] = w, s
+        y = np.array([toxic and strength(odds, t) >= TOKEN_ODDS for t in part], np.uint8)
+        out.append((words.tobytes(), stems.tobytes(), y.tobytes()))
+    return out
+
+
+class Sequences:
+    """Equal-length windows in arrays, equal ones once with their number; masked beyond their ends."""
+
+    def __init__(self, rows: list[tuple[bytes, bytes, bytes]]):
+        many = Counter(rows)
+        self.weight = np.array(list(many.values()), float)
+        self.size = np.array([len(r[0]) for r in many])
+        shape = (len(many), int(self.size.max(initial=1)))
+        self.word, self.stem, self.y = (np.zeros(shape, np.int64) for _ in range(3))
+        for i, r in enumerate(many):
+            for a, x in zip((self.word, self.stem, self.y), r, strict=True):
+                a[i, : len(x)] = np.frombuffer(x, np.uint8)
+        self.inside = np.arange(shape[1])[None, :] < self.size[:, None]
+
+    def likelihood(self, theta: np.ndarray, n: int) -> tuple[float, np.ndarray]:
+        """The log-likelihood of the labels and its gradient. theta: ``n`` word weights, ``n`` of beginnings, the bias, the
+        transitions from 0 to 0, 0 to 1, 1 to 0 and 1 to 1."""
+        word, stem, bias, trans = theta[:n], theta[n : 2 * n], theta[2 * n], theta[2 * n + 1 :].reshape(2, 2)
+        emit = bias + word[self.word] + stem[self.stem]
+        rows, length = self.y.shape
+        logs = lambda a, b: np.logaddexp(a, b)
+        fore = np.zeros((length, rows, 2))
+        fore[0, :, 1] = emit[:, 0]
+        for t in range(1, length):
+            x, y = fore[t - 1, :, 0], fore[t - 1, :, 1]
+            new = np.stack([logs(x + trans[0, 0], y + trans[1, 0]), logs(x + trans[0, 1], y + trans[1, 1]) + emit[:, t]], 1)
+            fore[t] = np.where(self.inside[:, t, None], new, fore[t - 1])
+        total = logs(fore[-1, :, 0], fore[-1, :, 1])
+        back = np.zeros((rows, 2))
+        g, w = np.zeros_like(theta), self.weight
+        seen = 0.0
+        for t in range(length - 1, -1, -1):
+            here = self.inside[:, t]
+            p1 = np.where(here, np.exp(fore[t, :, 1] + back[:, 1] - total), 0.0)
+            d = w * (np.where(here, self.y[:, t], 0) - p1)
+            g[:n] += np.bincount(self.word[:, t], d, n)
+            g[n : 2 * n] += np.bincount(self.stem[:, t], d, n)
+            g[2 * n] += d.sum()
+            seen += float((w * np.where(here, self.y[:, t] * emit[:, t], 0)).sum())
+            if not t:
+                break
+            into = np.stack([back[:, 0], back[:, 1] + emit[:, t]], 1)
+            both = fore[t - 1, :, :, None] + trans[None] + into[:, None, :] - total[:, None, None]
+            expected = np.where(here[:, None, None], np.exp(np.where(here[:, None, None], both, 0.0)), 0.0)
+            g[2 * n + 1 :] -= (w[:, None, None] * expected).sum(0).ravel()
+            pairs = np.bincount((2 * self.y[:, t - 1] + self.y[:, t])[here], w[here], 4)
+            g[2 * n + 1 :] += pairs
+            seen += float(pairs @ trans.ravel())
+            new = np.stack([logs(trans[0, 0] + into[:, 0], trans[0, 1] + into[:, 1]), logs(trans[1, 0] + into[:, 0], trans[1, 1] + into[:, 1])], 1)
+            back = np.where(here[:, None], new, back)
+        return seen - float(w @ total), g
+
+
+def maximise(f, x: np.ndarray, steps: int = 80, memory: int = 8) -> np.ndarray:
+    """L-BFGS with halving steps. f gives the value and its gradient."""
+    value, g = f(x)
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(steps):
+        q, weights = g.copy(), []
+        for s, y in reversed(held):
+            weights.append((s @ q) / (y @ s))
+            q -= weights[-1] * y
+        q *= (held[-1][0] @ held[-1][1]) / (held[-1][1] @ held[-1][1]) if held else 1 / max(1.0, np.abs(g).sum())
+        for (s, y), c in zip(held, reversed(weights), strict=True):
+            q += s * (c - (y @ q) / (y @ s))
+        # Moves are up the gradient g of f, so y, the change of -g, has s @ y > 0.
+        rate = 1.0
+        while rate > 1e-6:
+            new, new_g = f(x + rate * q)
+            if new >= value + 1e-4 * rate * (g @ q):
+                break
+            rate /= 2
+        else:
+            break
+        s, y = rate * q, g - new_g
+        if s @ y > 1e-12:
+            held = [*held, (s, y)][-memory:]
+        gain, x, value, g = new - value, x + s, new, new_g
+        if gain < 1e-7 * max(1.0, abs(value)):
+            break
+    return x
 
 
 class Field:
@@ -106,7 +217,7 @@ class Field:
         self.feature = {t: 1 + sum(o >= s for s in STEPS) for t, o in odds.items()}
         n = len(STEPS) + 2
         self.word, self.stem = np.zeros(n), np.zeros(n)
-        self.bias, self.trans = -2.0, np.zeros((2, 2))
+        self.bias, self.trans = -2.0, np.array([[0.0, -1.0], [-1.0, 0.0]])
         self.fit_document = np.zeros(4)
         self.usable = bool(odds)
 
@@ -174,44 +285,41 @@ class Field:
             x, y = x / (x + y), y / (x + y)
         return np.array(out)
 
-    def fit(self, sample: list[tuple[list[bytes], bool]], odds: dict[bytes, float], epochs: int = 40) -> None:
-        """Gradient ascent on the labelled token sequences: what is seen less what the field expects of it."""
-        docs = []
-        for toks, toxic in sample:
-            at, w, s = self.features(toks)
-            y = np.zeros(len(at), np.int64)
-            if toxic and len(at):
-                strong = [max(odds.get(toks[i], 0), odds.get(toks[i][:STEM] + b"*", 0) if len(toks[i]) > STEM else 0) for i in at]
-                y = (np.array(strong) >= TOKEN_ODDS).astype(np.int64)
-            docs.append((len(toks), at, w, s, y))
-        # Transitions have a closed form under weak smoothing: they are counted.
-        pairs = np.ones((2, 2))
-        for n, at, _, _, y in docs:
-            line = np.zeros(n, np.int64)
-            line[at] = y
-            np.add.at(pairs, (line[:-1], line[1:]), 1)
-        self.trans = np.log(pairs / pairs.sum(1, keepdims=True))
-        rate, g2 = 0.5, np.full(2 * len(self.word) + 1, 1e-6)
-        for _ in range(epochs):
-            g = np.zeros_like(g2)
-            m = len(self.word)
-            for n, at, w, s, y in docs:
-                if len(at):
-                    d = y - self.marginals(n, at, w, s)
-                    np.add.at(g, w, d)
-                    np.add.at(g, m + s, d)
-            g -= 0.05 * np.concatenate([self.word, self.stem, [0]])
-            g[0] = g[m] = 0  # no feature, no weight
-            g2 += g * g
-            move = rate * g / np.sqrt(g2)
-            self.word += move[:m]
-            self.stem += move[m : 2 * m]
-            if np.abs(move).max() < 0.01:
-                break
-        x = np.array([self.summary(t) for t, _ in sample])
-        y = np.array([b for _, b in sample], float)
+    def with_odds(self, odds: dict[bytes, float]) -> Field:
+        """The same weights over other odds."""
+        other = Field(odds)
+        other.word, other.stem, other.bias, other.trans, other.fit_document = self.word, self.stem, self.bias, self.trans, self.fit_document
+        return other
+
+    def fit(self, rows: list[tuple[bytes, bytes, bytes]]) -> None:
+        """Maximum likelihood of the windows' labels."""
+        rows = [r for r in rows if r[0]]
+        if not rows:
+            return
+        seqs, n = Sequences(rows), len(self.word)
+        ridge = np.full(2 * n + 5, RIDGE)
+
+        def weights(steps: np.ndarray) -> np.ndarray:
+            """A step's weight is the sum of what it and those below it add, so that steps that no window has are not worth less
+            than those below."""
+            out = steps.copy()
+            out[:n], out[n : 2 * n] = np.cumsum(steps[:n]), np.cumsum(steps[n : 2 * n])
+            return out
+
+        def penalised(steps):
+            value, g = seqs.likelihood(weights(steps), n)
+            g[:n], g[n : 2 * n] = np.cumsum(g[:n][::-1])[::-1], np.cumsum(g[n : 2 * n][::-1])[::-1]
+            g -= 2 * ridge * steps
+            g[0] = g[n] = 0.0  # no feature, no weight
+            return value - float(ridge @ steps**2), g
+
+        theta = weights(maximise(penalised, np.concatenate([np.zeros(2 * n), [self.bias], self.trans.ravel()])))
+        self.word, self.stem, self.bias, self.trans = theta[:n], theta[n : 2 * n], float(theta[2 * n]), theta[2 * n + 1 :].reshape(2, 2)
+
+    def fit_score(self, x: np.ndarray, y: np.ndarray) -> None:
+        """A ridge logistic fit of the documents' labels to their summaries, by Newton steps."""
         beta = np.zeros(x.shape[1])
-        for _ in range(50):  # Newton steps of a ridge logistic fit
+        for _ in range(50):
             p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
             h = (x * (p * (1 - p))[:, None]).T @ x + 0.01 * np.eye(len(beta))
             step = np.linalg.solve(h, x.T @ (y - p) - 0.01 * beta)
@@ -254,17 +362,35 @@ class Field:
         return [(chars(places[a][0]), chars(places[b][1])) for a, b in out]
 
 
-def fit_field(docs: DataFrame, labels: DataFrame) -> Field:
-    odds, share = term_odds(training(docs, labels))
-    field = Field(odds)
-    rows = [(tokens(text), toxic) for text, toxic in sample(docs, labels)] if odds else []
-    got = sum(b for _, b in rows) / max(1, len(rows))
-    if not 0 < got < 1:
+def fit_field(docs: DataFrame, labels: DataFrame, n: int = SAMPLE) -> Field:
+    learnt, share = sample(docs, labels, n)
+    *folds, both = term_odds(learnt)
+    field = Field(both)
+    if not both or not 0 < share < 1:
         field.usable = False
         return field
-    field.fit(rows, odds)
-    # The sample has as many of either; the score is to hold for the share that labels have.
-    field.fit_document[0] += math.log(share / (1 - share)) - math.log(got / (1 - got))
+    spark = docs.sparkSession
+    held = spark.sparkContext.broadcast((folds, [Field(o) for o in folds]))
+
+    def cut(batches):
+        odds, fields = held.value
+        for b in batches:
+            rows = [w for i, text, toxic, f in zip(b["doc_id"], b["text"], b["toxic"], b["fold"], strict=True) for w in windows(fields[1 - f], odds[f], text, toxic, i)]
+            yield pd.DataFrame(rows, columns=["w", "s", "y"])
+
+    field.fit([tuple(bytes(x) for x in r) for r in learnt.mapInPandas(cut, "w binary, s binary, y binary").collect()])
+    crossed = spark.sparkContext.broadcast([field.with_odds(o) for o in folds])
+
+    def sum_up(batches):
+        fields = crossed.value
+        for b in batches:
+            yield pd.DataFrame({"x": [fields[1 - f].summary(tokens(t)) for t, f in zip(b["text"], b["fold"], strict=True)], "y": b["toxic"]})
+
+    rows = learnt.mapInPandas(sum_up, "x array<double>, y boolean").collect()
+    y = np.array([r.y for r in rows], float)
+    field.fit_score(np.array([r.x for r in rows]), y)
+    # The sample has another share of toxic documents than the labels, whose share the score is to hold for.
+    field.fit_document[0] += math.log(share / (1 - share)) - math.log(y.mean() / (1 - y.mean()))
     return field
 
 
@@ -277,7 +403,8 @@ def score(docs: DataFrame, field: Field, text: str = "text") -> DataFrame:
         f = held.value
         return pd.DataFrame({"score": [f.score(tokens(t)) for t in texts], "spans": [[{"start": a, "end": b} for a, b in f.spans(t)] if t else [] for t in texts]})
 
-    return docs.withColumn("_judged", judge(F.col(text))).withColumns({"score": F.col("_judged.score"), "toxic_spans": F.col("_judged.spans")}).drop("_judged")
+    judged = packed(docs, judge(F.col(text)).alias("_judged"))
+    return unpacked(judged, docs.columns, F.col("_judged.score").alias("score"), F.col("_judged.spans").alias("toxic_spans"), names=("score", "toxic_spans"))
 
 
 def scores_only(text: Column, df: DataFrame, field: Field) -> Column:
@@ -302,4 +429,4 @@ def query(spark, sf_dir: str) -> DataFrame:
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic."""
     field = fit_field(docs, labels)
-    return docs.withColumn("_score", scores_only(F.col("text"), docs, field)).where(F.col("_score") < THRESHOLD).drop("_score")
+    return docs.where(scores_only(F.col("text"), docs, field) < THRESHOLD)
