@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evoked.llm import bpe_automaton, line_dedup, near_copies, positional_index, toxic_crf
-from evoked.llm.common import shared_dir, table
+from evoked.llm.common import remove, shared_dir, table
 
 #: Near copies share 4 / 5 of their five-word shingles (Jaccard) or more.
 SHINGLE, SIMILARITY = 5, (4, 5)
@@ -24,14 +24,12 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = line_dedup.dedup_lines(docs, exact_chars=1).drop("_n_lines", "_n_dropped")
+    out = line_dedup.dedup_lines(docs).drop("_n_lines", "_n_dropped")
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = near_copies.near_groups(docs.select("doc_id", "text"), SHINGLE, *SIMILARITY)
-    gone = groups.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    return near_copies.drop_copies(docs, SHINGLE, *SIMILARITY)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +49,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     home = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for name, stage in STAGES:
+    for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{home}/{name}")
         docs = spark.read.parquet(f"{home}/{name}")
+        if k:
+            remove(spark, f"{home}/{STAGES[k - 1][0]}")
     return docs
