@@ -43,6 +43,14 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` as a checkpoint after which the shuffles that led to it can go. Spark deletes their files when the driver's
+    garbage collector finds them unused, which it may not look for in a long while."""
+    out = checkpoint(df)
+    out.sparkSession._jvm.System.gc()
+    return out
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z lower-cased and nothing else. ``lower`` does just that to ASCII texts and is several times as fast."""
     exact = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evoked.llm.common import checkpoint, hinted, packed, small, unpacked
+from evoked.llm.common import checkpoint, hinted, packed, settled, small, unpacked
 from evoked.llm.simhash import SEED, components, links, majority, spans
 
 #: Bits in which the fingerprints of what SimHash links may differ.
@@ -230,10 +230,10 @@ def near_groups(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5) -> D
     with a similarity of num / den or more, and whether the row is the one of its group that stays."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     nodes = checkpoint(_nodes(docs, size))
-    sets = checkpoint(_candidates(docs, size, num, den))
-    close = checkpoint(_verified(links(nodes.select("node", "f").distinct(), DISTANCE), sets, num, den))
+    sets = settled(_candidates(docs, size, num, den))
+    close = settled(_verified(links(nodes.select("node", "f").distinct(), DISTANCE), sets, num, den))
     known, keyed = components(close), checkpoint(_meetings(sets))
-    found = close.unionByName(checkpoint(_verified(_first_pairs(_rooted(keyed, known), num, den), sets, num, den)))
+    found = close.unionByName(settled(_verified(_first_pairs(_rooted(keyed, known), num, den), sets, num, den)))
     roots = components(found)
     mixed = checkpoint(_mixed(keyed, roots))
     if not mixed.isEmpty():

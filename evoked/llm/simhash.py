@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evoked.llm.common import checkpoint, hinted, table
+from evoked.llm.common import checkpoint, hinted, settled, table
 
 SEED = 42
 #: Rows that meet are compared in blocks of so many at a time.
@@ -171,7 +171,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = with_least(both.where("b > a"), least).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         joined = with_least(large, least).select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        edges = checkpoint(joined.where("a <> b").distinct())
+        edges = settled(joined.where("a <> b").distinct())
         after = digest(edges)
         if after == before:
             break
