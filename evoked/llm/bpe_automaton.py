@@ -301,50 +301,6 @@ def _shared(spark: SparkSession, path: str) -> Callable[[], Automaton]:
 _COMPILED: dict[str, bytes] = {}
 
 
-def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        parts = self.special.split(text) if self.special and any(s in text for s in self.specials) else [text]
-        pieces, extend = self.pieces, out.extend
-        for part in parts:
-            if part in self.specials:
-                out.append(self.specials[part])
-            elif self.odd_space(part):
-                extend(self.encode_piece(part))
-            else:  # a space before anything but white space begins a word, so what stands between spaces can be cached whole
-                first, *rest = part.split(" ")
-                extend(self.encode_piece(first))
-                for piece in rest:
-                    got = pieces.get(piece)
-                    if got is None:
-                        got = self.encode_piece(" " + piece)
-                        if len(pieces) < CACHED_WORDS and len(piece) <= CACHED_CHARS:
-                            pieces[piece] = got
-                    extend(got)
-        return out
-
-    def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.labels.__getitem__, ids)).decode("utf-8", "replace")
-
-
-def _automaton(key: str, tables) -> Automaton:
-    """A Python worker's automaton. It is kept from task to task, and for all queries on the same vocabulary: a worker never
-    holds two, nor reads the broadcast tables again."""
-    if key not in _KEPT:
-        _KEPT.clear()
-        _KEPT[key] = Automaton(pickle.loads(tables.value))
-    return _KEPT[key]
-
-
-_KEPT: dict[str, Automaton] = {}
-
-
-def _shared(spark: SparkSession, path: str) -> Callable[[], Automaton]:
-    """What gives each Python worker its automaton."""
-    compiled = compile_merges(path)
-    key, tables = hashlib.sha256(repr(compiled).encode()).hexdigest(), spark.sparkContext.broadcast(compiled)
-    return lambda: _automaton(key, tables)
-
-
 def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids") -> DataFrame:
     """``docs`` with the array of ids ``out``."""
     automaton = _shared(docs.sparkSession, path)
