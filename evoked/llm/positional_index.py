@@ -5,9 +5,10 @@ document's sentinel, the empty term at the position after its last word, holds i
 it, as each file indexes its own documents. It has the lists of all terms, or of the test items' terms only.
 
 A test phrase is probed by its rarest terms by corpus frequency. Their lists, each moved back by the probe's place in the
-phrase, are intersected on (document, start); what is left is compared word for word with the document, so that exact
-matches are exact. A proximity match is a start from which the three rarest terms all stand within ``slop`` words of where
-the phrase has them, in any order.
+phrase, are intersected on (document, start), the rarest first: of each other list only what is near a place of the one
+before is kept. A proximity match is a start from which all of them stand within ``slop`` words of where the phrase has them,
+in any order. Where they meet at one start, the phrase is compared word for word with the document, so that exact matches are
+exact.
 
 Frequencies are counted over all postings; a phrase with a term that no document has is dropped, as it cannot occur.
 Terms and phrases come from the benchmark, not from the corpus: they are broadcast if there are at most ``BROADCAST_ROWS``
@@ -29,10 +30,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from evoked.llm.common import checkpoint, hinted, lower_ascii, remove, shared_dir, small, table
+from evoked.llm.common import checkpoint, hinted, lower_ascii, remove, settled, shared_dir, small, table
 
 WINDOW = 10
-#: Rarest terms of a phrase whose posting lists are intersected, for exact and for proximity matches.
+#: Rarest terms of a phrase whose posting lists are intersected, where only exact and where also proximity matches are asked for.
 PROBES, NEAR_PROBES = 2, 3
 #: Words by which a probe may stand off its place in a proximity match.
 SLOP = 4
@@ -78,25 +79,42 @@ def lengths(index: DataFrame) -> DataFrame:
 
 
 def probes(index: DataFrame, ph: DataFrame, n_probes: int = NEAR_PROBES) -> DataFrame:
-    """(term, phrase_id, n, at, rank): the places ``at`` of each phrase's rarest terms, at most ``n_probes`` of them."""
+    """(term, phrase_id, at, need, rank): the places ``at`` of each phrase's rarest terms, ``need`` of them: ``n_probes``, or all."""
     places = ph.select("phrase_id", "n", F.posexplode("phrase").alias("at", "term"))
     freq = index.where("term <> ''").groupBy("term").agg(F.count("*").alias("freq"))
     known = places.join(checkpoint(freq), "term").groupBy("phrase_id", "n").agg(F.array_sort(F.collect_list(F.struct("freq", "at", "term"))).alias("p"))
-    known = known.where("size(p) = n").select("phrase_id", "n", F.posexplode(F.slice("p", 1, n_probes)).alias("rank", "p"))
-    return known.select("p.term", "phrase_id", "n", "p.at", "rank")
+    known = known.where("size(p) = n").select("phrase_id", F.least("n", F.lit(n_probes)).alias("need"), F.posexplode(F.slice("p", 1, n_probes)).alias("rank", "p"))
+    return known.select("p.term", "phrase_id", "p.at", "need", "rank")
 
 
 def moved_lists(index: DataFrame, pr: DataFrame) -> DataFrame:
-    """(doc_id, row_hash, phrase_id, n, at, rank, start): the probes' lists, moved back by the probes' places."""
-    uses = checkpoint(pr.groupBy("term").agg(F.collect_list(F.struct("phrase_id", "n", "at", "rank")).alias("uses")))
+    """(doc_id, row_hash, phrase_id, at, need, start): the probes' lists, moved back by the probes' places. need: how many
+    probes the phrase has."""
+    uses = checkpoint(pr.groupBy("term").agg(F.collect_list(F.struct("phrase_id", "at", "need")).alias("uses")))
     lists = index.join(hinted(uses, BROADCAST_ROWS), "term").select(*ROW, "pos", F.inline("uses"))
-    return lists.select(*ROW, "phrase_id", "n", "at", "rank", (F.col("pos") - F.col("at")).alias("start"))
-
-
-def exact_matches(docs: DataFrame, moved: DataFrame, ph: DataFrame, n_probes: int = PROBES) -> DataFrame:
+    return lists.select(*ROW, "phrase_id", "at", "need", (F.col("pos") - F.col("at")).alias("start"))
+
+
+def met_lists(index: DataFrame, pr: DataFrame, slop: int = SLOP, n_probes: int = NEAR_PROBES) -> DataFrame:
+    """(doc_id, row_hash, phrase_id, start, whole): starts from which all probes of a phrase stand near where the phrase would
+    have them: their moved-back places lie within ``slop`` words after ``start``, in any order. whole: they are at ``start``.
+    Of each further list, only what is near a place of the list before is kept."""
+    bucket = F.floor(F.col("start") / (slop + 1))
+    lists = part = checkpoint(moved_lists(index, pr.where("rank = 0")))
+    for rank in range(1, n_probes):
+        near = checkpoint(part.select("row_hash", "phrase_id", F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("bucket")).distinct())
+        part = moved_lists(index, pr.where(F.col("rank") == rank)).withColumn("bucket", bucket)
+        part = settled(part.join(hinted(near, BROADCAST_ROWS), ["row_hash", "phrase_id", "bucket"], "left_semi").drop("bucket"))
+        lists = lists.unionByName(part.select(lists.columns))
+    after = W.partitionBy(*ROW, "phrase_id").orderBy("start")
+    seen = lambda end: F.size(F.collect_set("at").over(after.rangeBetween(0, end)))
+    near = lists.withColumn("k", seen(slop)).where("k >= need").withColumn("whole", seen(0) >= F.col("need"))
+    return near.groupBy(*ROW, "phrase_id", "start").agg(F.bool_or("whole").alias("whole"))
+
+
+def exact_matches(docs: DataFrame, met: DataFrame, ph: DataFrame) -> DataFrame:
     """One row for each different row of ``docs`` with a match: doc_id, row_hash, and matches: (start, n, items) of each."""
-    met = moved.where((F.col("rank") < n_probes) & (F.col("start") >= 0)).groupBy(*ROW, "phrase_id", "n", "start").agg(F.count("*").alias("k"))
-    met = met.where(F.col("k") >= F.least(F.col("n"), F.lit(n_probes))).select(*ROW, "phrase_id", "start")
+    met = met.where("whole AND start >= 0").select(*ROW, "phrase_id", "start")
     met = met.join(hinted(ph, BROADCAST_ROWS // 10), "phrase_id").groupBy(*ROW).agg(F.collect_list(F.struct("start", "n", "phrase", "items")).alias("found"))
     met = checkpoint(met)
     there = _rows(docs)
@@ -111,42 +129,33 @@ def exact_matches(docs: DataFrame, moved: DataFrame, ph: DataFrame, n_probes: in
     return exact.select(*ROW, F.expr("transform(found, m -> struct(m.start, m.n, m.items))").alias("matches"))
 
 
-def near_matches(moved: DataFrame, slop: int = SLOP, n_probes: int = NEAR_PROBES) -> DataFrame:
-    """(doc_id, row_hash, phrase_id, start): the probes of a phrase all stand near where the phrase would have them: their
-    moved-back places lie within ``slop`` words after ``start``, in any order."""
-    need = F.least(F.col("n"), F.lit(n_probes))
-    after = W.partitionBy(*ROW, "phrase_id").orderBy("start").rangeBetween(0, slop)
-    lists = moved.where(F.col("rank") < n_probes)
-    return lists.withColumn("k", F.size(F.collect_set("at").over(after))).where(F.col("k") >= need).select(*ROW, "phrase_id", "start").distinct()
-
-
-def _looked_up(docs: DataFrame, items: DataFrame, window: int, n_probes: int, path: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The index, the phrases, and the probes' lists."""
+def _looked_up(docs: DataFrame, items: DataFrame, window: int, slop: int, n_probes: int, path: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The index, the phrases, and where the probes' lists meet."""
     ph = checkpoint(phrases(items, window))
     index = build(docs, ph.select(F.explode("phrase").alias("term")).distinct(), path)
-    return index, ph, moved_lists(index, checkpoint(probes(index, ph, n_probes)))
+    return index, ph, checkpoint(met_lists(index, checkpoint(probes(index, ph, n_probes)), slop, n_probes))
 
 
 def phrase_matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, n_probes: int = PROBES, path: str | None = None) -> DataFrame:
-    _, ph, moved = _looked_up(docs, items, window, n_probes, path)
-    return exact_matches(docs, moved, ph, n_probes)
+    _, ph, met = _looked_up(docs, items, window, 0, n_probes, path)
+    return exact_matches(docs, met, ph)
 
 
 def proximity_matches(docs: DataFrame, items: DataFrame, slop: int = SLOP, window: int = WINDOW, n_probes: int = NEAR_PROBES) -> DataFrame:
-    return near_matches(_looked_up(docs, items, window, n_probes)[2], slop, n_probes)
+    """(doc_id, row_hash, phrase_id, start)."""
+    return _looked_up(docs, items, window, slop, n_probes)[2].drop("whole")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: int = SLOP) -> DataFrame:
     """Each row's doc_id, row_hash, n_words, n_hit (words inside a match), items (sorted), contaminated and near_items
     (items with a proximity match, sorted)."""
-    index, ph, moved = _looked_up(docs, items, window, NEAR_PROBES)
-    moved = checkpoint(moved)
+    index, ph, met = _looked_up(docs, items, window, slop, NEAR_PROBES)
     names = lambda c: F.array_sort(F.array_distinct(F.flatten(c)))
-    hits = exact_matches(docs, moved, ph).select(
+    hits = exact_matches(docs, met, ph).select(
         *(F.col(c).alias(f"m_{c}") for c in ROW),
         F.expr("size(array_distinct(flatten(transform(matches, m -> sequence(m.start, m.start + m.n - 1)))))").alias("n_hit"), names(F.col("matches.items")).alias("items"),
     )
-    near = near_matches(moved, slop).select(*ROW, "phrase_id").distinct().join(hinted(ph.select("phrase_id", "items"), BROADCAST_ROWS // 10), "phrase_id")
+    near = met.select(*ROW, "phrase_id").distinct().join(hinted(ph.select("phrase_id", "items"), BROADCAST_ROWS // 10), "phrase_id")
     near = near.groupBy(*(F.col(c).alias(f"p_{c}") for c in ROW)).agg(names(F.collect_list("items")).alias("near_items"))
     out = lengths(index).join(hits, F.expr("doc_id <=> m_doc_id AND row_hash = m_row_hash"), "left").join(near, F.expr("doc_id <=> p_doc_id AND row_hash = p_row_hash"), "left")
     n_hit, none = F.coalesce(F.col("n_hit"), F.lit(0)).cast("long"), F.expr("cast(array() AS array<string>)")
