@@ -8,7 +8,7 @@ differences, in arrays by token (``left``, ``right``, ``rank``) and a table of p
 
 Then the automaton over bytes: spelling out each arc, and making the result deterministic. A state is the set of arcs that
 may be under way (the token before, and how far the arc is spelled); its label is the token that ends here, of which there is
-always exactly one. All states that the labels of the vocabulary lead through are compiled once, on the driver, into a
+always exactly one. All states that the labels of the vocabulary lead through are compiled once, by one task, into a
 transition table; states that only other words lead to are added to a worker's table as they are met, and dropped again
 when there are ``MORE_STATES`` of them. A word is encoded by one transition a byte; the tokens are then read off backwards,
 from the label of the last state. Decoding emits the labels of the arcs, token by token.
@@ -65,12 +65,12 @@ def _ranges(codes: list[int]) -> str:
     return "".join(rf"\U{a:08x}-\U{b:08x}" for a, b in out)
 
 
-def char_classes(path: str) -> dict[str, str]:
+def char_classes(content: str) -> dict[str, str]:
     """L, N and S as the tokenizers library has them: its Unicode version decides, not that of Python. A code point after
     a letter or a number belongs to its class if the library does not split there; white space does not join a sign before it."""
     from tokenizers import Tokenizer
 
-    split = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
+    split = Tokenizer.from_str(content).pre_tokenizer.pre_tokenize_str
     codes = [c for c in range(0x80, 0x110000) if unicodedata.category(chr(c))[0] in "LN" or c < 0x34000 and unicodedata.category(chr(c)) == "Cn"]
     out = {"L": [*range(0x41, 0x5B), *range(0x61, 0x7B)], "N": [*range(0x30, 0x3A)], "S": [*range(0x09, 0x0E), 0x20]}
     for name, before in (("L", "a"), ("N", "1")):
@@ -83,10 +83,9 @@ def char_classes(path: str) -> dict[str, str]:
     return {k: _ranges(v) for k, v in out.items()}
 
 
-def compile_merges(path: str) -> dict:
-    """The tables of a vocabulary file: labels (bytes by id), gadgets (left, right and rank by id; rank by pair), specials."""
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
+def compile_merges(content: str) -> dict:
+    """The tables of a vocabulary file's content: labels (bytes by id), gadgets (left, right and rank by id; rank by pair), specials."""
+    spec = json.loads(content)
     letters, vocab = byte_letters(), spec["model"]["vocab"]
     n = max([*vocab.values(), *(t["id"] for t in spec["added_tokens"])]) + 1
     labels = [b""] * n
@@ -102,7 +101,7 @@ def compile_merges(path: str) -> dict:
         pairs[a, b] = r
         if rank[t] < 0:
             left[t], right[t], rank[t] = a, b, r
-    classes = char_classes(path)
+    classes = char_classes(content)
     pattern = "".join(classes.get(c, c) for c in PATTERN)
     tables = {"labels": labels, "left": left, "right": right, "rank": rank, "pairs": pairs, "specials": specials, "pattern": pattern, "space": classes["S"]}
     tables["real"] = _real(tables)
@@ -290,9 +289,16 @@ _KEPT: dict[str, Automaton] = {}
 
 
 def _shared(spark: SparkSession, path: str) -> Callable[[], Automaton]:
-    """What gives each Python worker its automaton. The driver keeps the tables pickled, some 8 MB, and compiles them once."""
+    """What gives each Python worker its automaton. The driver reads the file; one task compiles it, once for each session,
+    and the driver keeps the tables pickled, some 8 MB."""
     if path not in _COMPILED:
-        _COMPILED[path] = pickle.dumps(compile_merges(path))
+        with open(path, encoding="utf-8") as f:
+            content = f.read()
+
+        def compiled(_):
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(compile_merges(content))], pa.binary())], ["tables"])
+
+        _COMPILED[path] = bytes(spark.range(0, 1, 1, 1).mapInArrow(compiled, "tables binary").first().tables)
     packed = _COMPILED[path]
     key, tables = hashlib.sha256(packed).hexdigest(), spark.sparkContext.broadcast(packed)
     return lambda: _automaton(key, tables)

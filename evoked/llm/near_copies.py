@@ -2,8 +2,7 @@
 shingles have a Jaccard similarity of 0.8 or more is linked, directly or by others, and no other pair is.
 
 No fingerprint distance covers such pairs, so SimHash comes first and is not the whole: deletion-variant signatures
-(``simhash.links``) bring the closest copies together, which are verified by their sets. What that has not connected yet is
-left to a prefix filter.
+(``simhash.links``) bring the closest copies together, which are verified by their sets; a prefix filter finds the rest.
 
 Shingles are hashed to 64 bits; documents with equal sets are one node. A pair at 0.8 shares at least 0.8 of either set, so
 with the shingles of each set in one order for all, rarest first, its smallest common shingle stands among the first
@@ -145,10 +144,10 @@ def _meetings(sets: DataFrame) -> DataFrame:
 
 
 def _first_pairs(keyed: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b): all pairs of small meetings, and of others each node with the smallest one, but for those in one component."""
+    """(a, b): all pairs of small meetings, and of others each node with the smallest one."""
 
     def meet(batches):
-        for (key, node, n, root), edge in _runs(batches, ["key", "node", "n", "root"], "key"):
+        for (key, node, n), edge in _runs(batches, ["key", "node", "n"], "key"):
             if not len(key):
                 continue
             count = np.diff(edge)
@@ -163,7 +162,7 @@ def _first_pairs(keyed: DataFrame, num: int, den: int) -> DataFrame:
                 x.append(at + lag)
                 y.append(at)
             x, y = np.concatenate(x), np.concatenate(y)
-            fit = (root[x] != root[y]) & (np.minimum(n[x], n[y]).astype(np.int64) * den >= np.maximum(n[x], n[y]).astype(np.int64) * num)
+            fit = (x != y) & (np.minimum(n[x], n[y]).astype(np.int64) * den >= np.maximum(n[x], n[y]).astype(np.int64) * num)
             yield pd.DataFrame({"a": np.maximum(node[x], node[y])[fit], "b": np.minimum(node[x], node[y])[fit]}).drop_duplicates()
 
     return keyed.repartition("key").sortWithinPartitions("key", "node").mapInPandas(meet, "a long, b long").distinct()
@@ -232,8 +231,8 @@ def near_groups(docs: DataFrame, size: int = 5, num: int = 4, den: int = 5) -> D
     nodes = checkpoint(_nodes(docs, size))
     sets = settled(_candidates(docs, size, num, den))
     close = settled(_verified(links(nodes.select("node", "f").distinct(), DISTANCE), sets, num, den))
-    known, keyed = components(close), checkpoint(_meetings(sets))
-    found = close.unionByName(settled(_verified(_first_pairs(_rooted(keyed, known), num, den), sets, num, den)))
+    keyed = checkpoint(_meetings(sets))
+    found = close.unionByName(settled(_verified(_first_pairs(keyed, num, den), sets, num, den)))
     roots = components(found)
     mixed = checkpoint(_mixed(keyed, roots))
     if not mixed.isEmpty():

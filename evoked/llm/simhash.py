@@ -31,8 +31,8 @@ from evoked.llm.common import checkpoint, hinted, settled, table
 SEED = 42
 #: Rows that meet are compared in blocks of so many at a time.
 BLOCK = 65_536
-#: Keys that the links of one node are dealt over.
-SALTS = 16
+#: Keys that the links of one node are dealt over, where there are more links than can be broadcast, some 10 MB.
+SALTS, FEW_LINKS = 16, 100_000
 #: At most so many rows are broadcast: some 50 MB.
 BROADCAST_ROWS = 500_000
 #: Shingles of a text whose bits are counted at a time.
@@ -161,6 +161,8 @@ def components(edges: DataFrame) -> DataFrame:
     digest = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
 
     def with_least(rows: DataFrame, least: DataFrame) -> DataFrame:
+        if before[0] <= FEW_LINKS:
+            return rows.join(F.broadcast(least), "a")
         dealt = least.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
         return rows.withColumn("_salt", F.pmod(F.xxhash64("b"), F.lit(SALTS))).join(dealt, ["a", "_salt"]).drop("_salt")
 
