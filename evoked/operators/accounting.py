@@ -10,10 +10,12 @@ from evoked.operators.intervals import ALL_OR_NOTHING
 
 def _buckets(pieces: DataFrame, requests: DataFrame) -> DataFrame:
     """A row for each piece and bucket (null: all requests): ticks, how many of the bucket's epochs it has, and of all."""
-    ids = pieces.select("*", F.monotonically_increasing_id().alias("_piece")).withColumn("_ticks", F.col("hi") - F.col("lo"))
-    each = ids.select("_piece", "_ticks", "artifacts", F.size("epochs").alias("n_all"), F.explode("epochs").alias("epoch_id")).join(requests.select("epoch_id", "request"), "epoch_id")
-    own = each.groupBy("_piece", "_ticks", "artifacts", "n_all", "request").agg(F.count("*").alias("n"))
-    return own.unionByName(ids.select("_piece", "_ticks", "artifacts", F.size("epochs").alias("n_all"), F.lit(None).cast("int").alias("request"), F.size("epochs").cast("long").alias("n")))
+    kind = pieces.schema["epochs"].dataType.elementType
+    # The null after a piece's epochs stands for all requests.
+    each = pieces.select("recspan_id", "lo", "hi", "artifacts", F.element_at("epochs", 1).alias("_first"), F.size("epochs").alias("n_all"), F.explode(F.concat("epochs", F.array(F.lit(None).cast(kind)))).alias("epoch_id"))
+    each = each.join(requests.select("epoch_id", "request"), "epoch_id", "left").where("epoch_id IS NULL OR request IS NOT NULL")
+    own = each.groupBy("recspan_id", "lo", "hi", "_first", "request").agg(F.first("artifacts").alias("artifacts"), F.first("n_all").alias("n_all"), F.count("*").alias("n"))
+    return own.withColumns({"_ticks": F.col("hi") - F.col("lo"), "n": F.when(F.col("request").isNull(), F.col("n_all").cast("long")).otherwise(F.col("n"))})
 
 
 def point_stats(pieces: DataFrame, requests: DataFrame) -> DataFrame:
@@ -56,3 +58,21 @@ def choose_strategy(asked: str, points: dict, epochs: dict) -> str:
     if asked not in ("by-epoch", "continuous"):
         raise ValueError(f"unknown regression strategy {asked!r}")
     return asked
+
+
+def report(points: dict, epochs: dict, artifacts: dict | None = None) -> str:
+    """What was accepted and rejected, as text; of rows of ``point_stats``, ``epoch_stats`` and ``artifact_stats``."""
+    share = lambda n, of: f"{n} of {of}" + (f" ({100 * n / of:.1f}%)" if of else "")
+    asked = epochs["requested"]
+    lines = [f"epochs: {asked}", *(f"  {k.replace('_', ' ')}: {share(epochs[k], asked)}" for k in ("fully_accepted", "partially_accepted", "fully_rejected"))]
+    for name in ("ticks", "event_ticks", "no_overlap_ticks"):
+        lines.append(f"{name.replace('_', ' ')} accepted: {share(points[name + '_accepted'], points[name + '_requested'])}")
+    lines += [f"  {a}: {v['affected']} ticks, {v['unique']} by it alone" for a, v in sorted((artifacts or {}).items())]
+    if points["ticks_accepted"]:
+        lines.append(f"events per accepted tick: {overlap_ratio(points):.2f}")
+    return "\n".join(lines)
+
+
+def overlap_ratio(points: dict) -> float:
+    """Events per accepted tick; above 1, epochs overlap. NaN if no tick was accepted."""
+    return points["event_ticks_accepted"] / points["ticks_accepted"] if points["ticks_accepted"] else float("nan")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evoked.operators.timeline import numbered
+
 
 def raw_slice(signal: DataFrame, recspan_id: int, start_tick: int, stop_tick: int) -> DataFrame:
     """Ticks [start, stop) of one recording; the filter reaches the scan. Missing ticks are an error."""
@@ -47,15 +49,9 @@ def epochs(events: DataFrame, signal: DataFrame, recspans: DataFrame, start: int
     raise, or are dropped."""
     if incomplete not in ("raise", "drop"):
         raise ValueError(f"unknown action {incomplete!r}")
-    from pyspark.sql import Window as W
-
     placed = events.join(recspans.select("recspan_id", "ticks"), "recspan_id")
     fits = (F.col("start_tick") + start >= 0) & (F.col("start_tick") + stop <= F.col("ticks"))
-    # Numbers without one task for all: counts before each recording, plus the place inside it.
-    inside = F.row_number().over(W.partitionBy("recspan_id").orderBy("start_tick", "event_id")) - 1
-    sizes = events.groupBy("recspan_id").agg(F.count("*").alias("_n"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("recspan_id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    placed = placed.withColumn("_in", inside).join(before, "recspan_id").withColumn("epoch_no", F.col("_in") + F.col("_before")).drop("_in", "_before")
+    placed = numbered(placed, "epoch_no", "start_tick", "event_id")
     if incomplete == "raise" and not placed.where(~fits).isEmpty():
         raise ValueError("an epoch leaves its recording")
     return epoch_rows(placed.where(fits), signal, start, stop, extra=("epoch_no",))

@@ -6,7 +6,7 @@ null for epochs). Pieces: recspan_id, lo, hi, epochs (sorted), artifacts (sorted
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -14,6 +14,17 @@ PAUSE, DELETE = 49152, 57344
 ALL_OR_NOTHING = "_ALL_OR_NOTHING"
 
 
+def covering(points: DataFrame, spans: DataFrame) -> DataFrame:
+    """``points`` (recspan_id, lo, ...) joined with the ``spans`` (recspan_id, start, stop, ...) that hold the tick lo.
+
+    A recording's time is cut into buckets as long as its spans are on average, so that spans become about two rows each and
+    the join is one of equal (recspan_id, bucket), spread over many tasks however long the recording is."""
+    width = spans.groupBy("recspan_id").agg(F.greatest(F.ceil(F.avg(F.col("stop") - F.col("start"))), F.lit(1)).cast("long").alias("_w"))
+    cut = spans.join(width, "recspan_id").withColumn("_b", F.explode(F.expr("sequence(start div _w, (stop - 1) div _w)"))).drop("_w")
+    at = points.join(width, "recspan_id").withColumn("_b", F.expr("lo div _w")).drop("_w")
+    return at.join(cut, ["recspan_id", "_b"]).where("start <= lo AND stop > lo").drop("_b")
+
+
 def subspans(epochs: DataFrame, artifacts: DataFrame, overlap_correction: bool = True) -> DataFrame:
     """The maximal pieces between consecutive edges that at least one epoch covers. ``epochs``: epoch_id, recspan_id, start,
     stop, intrinsic; ``artifacts``: recspan_id, start, stop, artifact. With overlap correction a piece belongs to all its
@@ -23,10 +34,10 @@ def subspans(epochs: DataFrame, artifacts: DataFrame, overlap_correction: bool =
     art = artifacts.join(bounds, "recspan_id").select("recspan_id", F.greatest("start", "_lo").alias("start"), F.least("stop", "_hi").alias("stop"), "artifact").where("start < stop")
     edges = epochs.select("recspan_id", F.explode(F.array("start", "stop")).alias("lo")).unionByName(art.select("recspan_id", F.explode(F.array("start", "stop")).alias("lo"))).distinct()
     gaps = edges.withColumn("hi", F.lead("lo").over(W.partitionBy("recspan_id").orderBy("lo"))).where("hi IS NOT NULL")
-    inside = [F.col("start") <= F.col("lo"), F.col("stop") >= F.col("hi")]
-    by_epoch = gaps.join(epochs.select(F.col("recspan_id").alias("_r"), "start", "stop", "epoch_id", "intrinsic"), [F.col("recspan_id") == F.col("_r"), *inside]).drop("_r", "start", "stop")
+    # No edge lies inside a piece: what holds its first tick holds all of it.
+    by_epoch = covering(gaps, epochs.select("recspan_id", "start", "stop", "epoch_id", "intrinsic"))
     keys = ["recspan_id", "lo", "hi"]
-    of_piece = gaps.join(art.select(F.col("recspan_id").alias("_r"), "start", "stop", "artifact"), [F.col("recspan_id") == F.col("_r"), *inside]).groupBy(*keys).agg(F.collect_set("artifact").alias("regular"))
+    of_piece = covering(gaps, art).groupBy(*keys).agg(F.collect_set("artifact").alias("regular"))
     if overlap_correction:
         pieces = by_epoch.groupBy(*keys).agg(F.sort_array(F.collect_list("epoch_id")).alias("epochs"), F.flatten(F.collect_list("intrinsic")).alias("intrinsic"))
     else:
@@ -75,7 +86,19 @@ def locate_ticks(ticks: DataFrame, spans: DataFrame) -> DataFrame:
 
 
 def overlapping_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(a_id, b_id) of events that overlap: equal recording, and half-open ticks in common."""
-    left = a.select(F.col("event_id").alias("a_id"), "recspan_id", F.col("start_tick").alias("a_start"), F.col("stop_tick").alias("a_stop"))
-    right = b.select(F.col("event_id").alias("b_id"), "recspan_id", F.col("start_tick").alias("b_start"), F.col("stop_tick").alias("b_stop"))
-    return left.join(right, "recspan_id").where("a_start < b_stop AND a_stop > b_start").select("a_id", "b_id", "recspan_id")
+    """(a_id, b_id) of events that overlap: equal recording, and half-open ticks in common. Of two that do, one holds the
+    other's first tick: either b's start lies in a, or a's start lies in b behind b's own."""
+    def spans(df, name):
+        return df.select(F.col("event_id").alias(name), "recspan_id", F.col("start_tick").alias("start"), F.col("stop_tick").alias("stop"))
+
+    def points(df, name):
+        return df.select(F.col("event_id").alias(name), "recspan_id", F.col("start_tick").alias("lo"))
+
+    first = covering(points(b, "b_id"), spans(a, "a_id"))
+    second = covering(points(a, "a_id"), spans(b, "b_id")).where("start < lo")
+    return first.select("a_id", "b_id", "recspan_id").unionByName(second.select("a_id", "b_id", "recspan_id"))
+
+
+def magnitude(length: Column) -> Column:
+    """The power of two that a span's length is counted under: 1 for one tick, else the largest one below the length."""
+    return F.when(length == 1, 1.0).otherwise(F.pow(F.lit(2.0), F.ceil(F.log2(length)) - 1))

@@ -23,6 +23,10 @@ from evoked.plans.formula import Design, compile_formula
 
 MAX_CONDITION = 1e7
 FAR = 2**31
+#: Tasks that the triangles of all partitions are merged in before the driver gets them.
+MERGERS = 8
+#: Columns (predictors by latencies) of a continuous fit: its square system is held and solved on the driver.
+MAX_COLUMNS = 10_000
 
 
 @dataclass(frozen=True)
@@ -55,6 +59,13 @@ class Fit:
     overlap_correction: bool
     timeline: Timeline = field(repr=False)
 
+    def report(self) -> str:
+        own = self.this_stats
+        return accounting.report(own["points"], own["epochs"], own.get("artifacts"))
+
+    def overlap_ratio(self) -> float:
+        return accounting.overlap_ratio(self.global_stats["points"])
+
     def predict_many(self, predictors: DataFrame, which_terms=None, na_action: str = "raise") -> DataFrame:
         """``predictors`` (row_id, columns of the formula) with the response at each latency."""
         if na_action not in ("raise", "drop"):
@@ -142,7 +153,8 @@ def epoch_spans(t: Timeline, fmt: DataFormat, requests: list[Request], registere
 
 
 def triangle(rows: DataFrame, width: int) -> np.ndarray:
-    """The R of a QR of the array column x, from the R of each batch, stacked on the driver: width x width each."""
+    """The R of a QR of the array column x: the R of each partition, of ``MERGERS`` groups of them, then of all on the driver,
+    which gets at most ``MERGERS`` of width x width."""
 
     def reduce(batches):
         held = np.zeros((0, width))
@@ -150,9 +162,10 @@ def triangle(rows: DataFrame, width: int) -> np.ndarray:
             if len(b):
                 held = np.linalg.qr(np.vstack([held, np.vstack(b["x"].to_numpy())]), mode="r")
         if len(held):
-            yield pd.DataFrame({"r": [row.tolist() for row in held]})
+            yield pd.DataFrame({"x": [row.tolist() for row in held]})
 
-    parts = rows.select("x").mapInPandas(reduce, "r array<double>").collect()
+    one = rows.select("x").mapInPandas(reduce, "x array<double>").repartition(MERGERS)
+    parts = one.mapInPandas(reduce, "x array<double>").select(F.col("x").alias("r")).collect()
     return np.linalg.qr(np.array([p.r for p in parts]), mode="r") if parts else np.zeros((0, width))
 
 
@@ -202,7 +215,9 @@ def normal_equations(design: DataFrame, signal: DataFrame, channels) -> tuple[Da
 
 
 def fit_continuous(design: DataFrame, signal: DataFrame, channels, width: int) -> np.ndarray:
-    """(column, channel)."""
+    """(column, channel). At most ``MAX_COLUMNS`` columns."""
+    if width > MAX_COLUMNS:
+        raise ValueError(f"{width} columns, more than {MAX_COLUMNS}")
     n = design.count()
     if n < width:
         raise ValueError("fewer clean ticks than columns")
@@ -225,17 +240,23 @@ def multi_rerp(t: Timeline, signal: DataFrame, fmt: DataFormat, requests: list[R
         raise ValueError("requests need different names")
     channels = list(fmt.channel_names)
     epochs, designs, windows = epoch_spans(t, fmt, requests, registered)
-    epochs = epochs.cache()
+    held: list[DataFrame] = []
+
+    def hold(df: DataFrame) -> DataFrame:
+        held.append(df.cache())
+        return df
+
     try:
-        return _fit(t, signal, fmt, requests, channels, epochs, designs, windows, artifact_spans(t, artifact_query, artifact_type_field), overlap_correction, regression_strategy)
+        return _fit(t, signal, fmt, requests, channels, hold(epochs), designs, windows, artifact_spans(t, artifact_query, artifact_type_field), overlap_correction, regression_strategy, hold)
     finally:
-        epochs.unpersist()
+        for df in held:
+            df.unpersist()
 
 
-def _fit(t, signal, fmt, requests, channels, epochs, designs, windows, artifacts, overlap_correction, strategy) -> list[Fit]:
+def _fit(t, signal, fmt, requests, channels, epochs, designs, windows, artifacts, overlap_correction, strategy, hold) -> list[Fit]:
     if any(r.all_or_nothing for r in requests):
-        epochs = tag_all_or_nothing(epochs, all_or_nothing(epochs, artifacts, overlap_correction)).cache()
-    pieces = subspans(epochs, artifacts, overlap_correction).cache()
+        epochs = hold(tag_all_or_nothing(epochs, all_or_nothing(epochs, artifacts, overlap_correction)))
+    pieces = hold(subspans(epochs, artifacts, overlap_correction))
     ids = epochs.select("epoch_id", "request")
     stats: dict = {}
     for name, df in (("points", accounting.point_stats(pieces, ids)), ("epochs", accounting.epoch_stats(pieces, ids))):
@@ -246,7 +267,7 @@ def _fit(t, signal, fmt, requests, channels, epochs, designs, windows, artifacts
     how = accounting.choose_strategy(strategy, stats[None]["points"], stats[None]["epochs"])
     if how == "by-epoch":
         rejected = pieces.where("size(artifacts) > 0").select(F.explode("epochs").alias("epoch_id")).distinct()
-        clean = epochs.join(rejected, "epoch_id", "left_anti").cache()
+        clean = hold(epochs.join(rejected, "epoch_id", "left_anti"))
         betas = [fit_by_epoch(clean.where(F.col("request") == i), signal, channels, len(d.names), w) for i, (d, w) in enumerate(zip(designs, windows, strict=True))]
     else:
         offsets, at = [], 0
@@ -255,7 +276,6 @@ def _fit(t, signal, fmt, requests, channels, epochs, designs, windows, artifacts
             at += len(d.names) * (b - a)
         flat = fit_continuous(expanded_design(epochs, pieces, offsets, overlap_correction), signal, channels, at)
         betas = [flat[o : o + len(d.names) * n].reshape(len(d.names), n, len(channels)).transpose(1, 0, 2) for (o, n, _), d in zip(offsets, designs, strict=True)]
-    pieces.unpersist()
     out = []
     for i, (r, d, b, (a, _)) in enumerate(zip(requests, designs, betas, windows, strict=True)):
         rows = [(r.name, p, name, a + k, float(fmt.ticks_to_ms(a + k)), *map(float, b[k, p])) for p, name in enumerate(d.names) for k in range(b.shape[0])]

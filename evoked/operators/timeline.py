@@ -5,25 +5,56 @@ Timelines are immutable; what changes events returns a new timeline and works on
 
 from __future__ import annotations
 
+import numbers
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from evoked.functions.attrs import ATTR, ColumnAttrs, EventsError, MapAttrs, Registry, attr_literal, encode
+from evoked.functions.attrs import ATTR, ColumnAttrs, EventsError, MapAttrs, Registry, agree, decode, encode, kind_of, kind_of_type
 from evoked.plans.query import Placeholder, Query, as_query, compile_query, needs_recspan
 
 EVENTS = f"event_id bigint, recspan_id bigint, start_tick bigint, stop_tick bigint, attrs map<string,{ATTR}>"
 RECSPANS = f"recspan_id bigint, ticks bigint, recspan_attrs map<string,{ATTR}>"
 
 
+EVENT_KEYS = ("event_id", "recspan_id", "start_tick", "stop_tick")
+RECSPAN_KEYS = ("recspan_id", "ticks")
+
+
+def literal_type(value) -> str:
+    kind = kind_of(value)
+    if kind == "numeric":
+        return "bigint" if isinstance(value, numbers.Integral) else "double"
+    return {None: "void", "text": "string", "bool": "boolean"}[kind]
+
+
 def check_events(df: DataFrame) -> DataFrame:
     """``df``, failing where an event is empty, begins before its recording or has none."""
     bad = (F.col("start_tick") >= F.col("stop_tick")) | (F.col("start_tick") < 0)
     return df.withColumn("start_tick", F.when(bad, F.raise_error(F.lit("events need 0 <= start_tick < stop_tick"))).otherwise(F.col("start_tick")))
 
 
+def numbered(df: DataFrame, name: str, *order) -> DataFrame:
+    """``df`` with the place of each row, from 0, by recording and ``order``. Rows are ranked inside their recordings; what
+    comes before a recording is summed up over counts, in blocks of recordings, so that no task gets all of them."""
+    inside = F.row_number().over(W.partitionBy("recspan_id").orderBy(*order)) - 1
+    sizes = df.groupBy("recspan_id").agg(F.count("*").alias("_n")).withColumn("_block", F.expr("recspan_id div 10000"))
+    upto = lambda w: w.rowsBetween(W.unboundedPreceding, -1)
+    blocks = sizes.groupBy("_block").agg(F.sum("_n").alias("_sum")).select("_block", F.coalesce(F.sum("_sum").over(upto(W.orderBy("_block"))), F.lit(0)).alias("_base"))
+    own = F.coalesce(F.sum("_n").over(upto(W.partitionBy("_block").orderBy("recspan_id"))), F.lit(0))
+    before = sizes.withColumn("_own", own).join(blocks, "_block").select("recspan_id", (F.col("_own") + F.col("_base")).alias("_before"))
+    return df.withColumn("_in", inside).join(before, "recspan_id").withColumn(name, F.col("_in") + F.col("_before")).drop("_in", "_before")
+
+
+def both(df: DataFrame, attrs, new: DataFrame, new_attrs, keep) -> tuple[DataFrame, MapAttrs | ColumnAttrs]:
+    """The rows of both with the columns ``keep`` and all attributes, in the encoding of the first."""
+    new, after = attrs.take(new, new_attrs, keep)
+    old, _ = after.take(df, attrs, keep)
+    return old.unionByName(new), after
+
+
 @dataclass(frozen=True)
 class Timeline:
     events: DataFrame
@@ -58,28 +89,26 @@ class Timeline:
         return Timeline(events, recspans, ColumnAttrs.of(events, keys), ColumnAttrs.of(recspans, recspan_keys))
 
     def add_recspan(self, ticks: int, attrs: dict | None = None) -> Timeline:
-        """With the next id. Typed timelines take a DataFrame in ``recspans`` instead."""
-        attrs, types = attrs or {}, Registry(self.recspan_attrs.types)
+        """With the next id."""
+        attrs, types = attrs or {}, Registry()
         for k, v in attrs.items():
             types.learn(k, v)
         spark = self.recspans.sparkSession
         row = spark.createDataFrame([(ticks, {k: encode(v) for k, v in attrs.items()})], f"ticks bigint, recspan_attrs map<string,{ATTR}>")
         top = self.recspans.agg(F.coalesce(F.max("recspan_id") + 1, F.lit(0)).alias("recspan_id"))
-        return replace(self, recspans=self.recspans.unionByName(top.crossJoin(row)), recspan_attrs=replace(self.recspan_attrs, types=dict(types)))
+        recspans, after = both(self.recspans, self.recspan_attrs, top.crossJoin(row), MapAttrs(types, "recspan_attrs"), RECSPAN_KEYS)
+        return replace(self, recspans=recspans, recspan_attrs=after)
 
     def add_events(self, new: DataFrame, types: dict[str, str | None]) -> Timeline:
-        """``new``: recspan_id, start_tick, stop_tick, attrs. Ids go on after the largest; recordings must exist."""
-        known = Registry(self.attrs.types)
-        for k, kind in types.items():
-            if kind and known.get(k) and known[k] != kind:
-                raise TypeError(f"{k!r} holds {known[k]} values, not {kind}")
-            known[k] = known.get(k) or kind
+        """``new``: recspan_id, start_tick, stop_tick, attrs (a map). Ids go on after the largest without gaps, by recording,
+        ticks and attributes, so that a repeated task gives the same ones; recordings must exist."""
         there = self.recspans.select("recspan_id", F.lit(True).alias("_there"))
         new = check_events(new).join(there, "recspan_id", "left")
         new = new.withColumn("recspan_id", F.when(F.col("_there"), F.col("recspan_id")).otherwise(F.raise_error(F.lit("no such recording")).cast("bigint")))
         base = self.events.agg(F.coalesce(F.max("event_id") + 1, F.lit(0)).alias("_base"))
-        new = new.crossJoin(F.broadcast(base)).withColumn("event_id", F.col("_base") + F.monotonically_increasing_id())
-        return replace(self, events=self.events.unionByName(new.select(*self.events.columns)), attrs=replace(self.attrs, types=dict(known)))
+        new = numbered(new, "_no", "start_tick", "stop_tick", F.to_json("attrs")).crossJoin(F.broadcast(base)).withColumn("event_id", F.col("_base") + F.col("_no"))
+        events, after = both(self.events, self.attrs, new, MapAttrs(dict(types)), EVENT_KEYS)
+        return replace(self, events=events, attrs=after)
 
     def add_event(self, recspan_id: int, start_tick: int, stop_tick: int, attrs: dict) -> Timeline:
         spark, types = self.events.sparkSession, Registry()
@@ -155,17 +184,23 @@ class Timeline:
 
     def set_attr(self, key: str, value, restrict=None) -> Timeline:
         df, hit = self._where(restrict)
-        types = Registry(self.attrs.types)
-        types.learn(key, value)
-        rest = F.map_filter("attrs", lambda k, _: k != key)
-        df = df.withColumn("attrs", F.when(hit, F.map_concat(rest, F.create_map(F.lit(key), attr_literal(value)))).otherwise(F.col("attrs")))
-        return replace(self, events=df.select(*self.events.columns), attrs=replace(self.attrs, types=dict(types)))
+        df, after = self.attrs.put(df, key, F.lit(value), literal_type(value), hit)
+        return replace(self, events=df.select(*EVENT_KEYS, *after.columns()), attrs=after)
+
+    def update(self, values: dict, restrict=None) -> Timeline:
+        """Several keys; which events match is asked of the events as they are."""
+        out, hit = self.matches(restrict), F.col("matches")
+        attrs = self.attrs
+        for key, value in values.items():
+            out, attrs = attrs.put(out, key, F.lit(value), literal_type(value), hit)
+        return replace(self, events=out.select(*EVENT_KEYS, *attrs.columns()), attrs=attrs)
 
     def delete_attr(self, key: str, restrict=None) -> Timeline:
         """An event without the key is an error."""
         df, hit = self._where(restrict)
-        gone = F.when(self.attrs.present(key), F.map_filter("attrs", lambda k, _: k != key)).otherwise(F.raise_error(F.lit(f"no attribute {key}")).cast(df.schema["attrs"].dataType))
-        return replace(self, events=df.withColumn("attrs", F.when(hit, gone).otherwise(F.col("attrs"))).select(*self.events.columns))
+        df = self.attrs.without(df, key, hit)
+        after = replace(self.attrs, optional=self.attrs.optional | {key}) if isinstance(self.attrs, ColumnAttrs) and key in self.attrs.types else self.attrs
+        return replace(self, events=df.select(*EVENT_KEYS, *after.columns()), attrs=after)
 
     def move(self, offset: int, restrict=None) -> Timeline:
         df, hit = self._where(restrict)
@@ -177,73 +212,89 @@ class Timeline:
         return replace(self, events=self.events.join(self.find(restrict).select("event_id"), "event_id", "left_anti").select(*self.events.columns))
 
     def union(self, other: Timeline) -> Timeline:
-        """Both; the other's recordings and events get ids after the own ones."""
-        types = Registry(self.attrs.types)
-        for k, kind in other.attrs.types.items():
-            if kind and types.get(k) and types[k] != kind:
-                raise TypeError(f"{k!r} holds {types[k]} values, not {kind}")
-            types[k] = types.get(k) or kind
+        """Both, in the encoding of this one; the other's recordings and events get ids after the own ones."""
         r = F.broadcast(self.recspans.agg(F.coalesce(F.max("recspan_id") + 1, F.lit(0)).alias("_r")))
         e = F.broadcast(self.events.agg(F.coalesce(F.max("event_id") + 1, F.lit(0)).alias("_e")))
-        spans = other.recspans.crossJoin(r).withColumn("recspan_id", F.col("recspan_id") + F.col("_r")).select(*self.recspans.columns)
-        events = other.events.crossJoin(r).crossJoin(e).withColumns({"recspan_id": F.col("recspan_id") + F.col("_r"), "event_id": F.col("event_id") + F.col("_e")}).select(*self.events.columns)
-        both = replace(self.recspan_attrs, types={**other.recspan_attrs.types, **self.recspan_attrs.types})
-        return replace(self, events=self.events.unionByName(events), recspans=self.recspans.unionByName(spans), attrs=replace(self.attrs, types=dict(types)), recspan_attrs=both)
+        spans = other.recspans.crossJoin(r).withColumn("recspan_id", F.col("recspan_id") + F.col("_r"))
+        events = other.events.crossJoin(r).crossJoin(e).withColumns({"recspan_id": F.col("recspan_id") + F.col("_r"), "event_id": F.col("event_id") + F.col("_e")})
+        recspans, recspan_attrs = both(self.recspans, self.recspan_attrs, spans, other.recspan_attrs, RECSPAN_KEYS)
+        events, attrs = both(self.events, self.attrs, events, other.attrs, EVENT_KEYS)
+        return replace(self, events=events, recspans=recspans, attrs=attrs, recspan_attrs=recspan_attrs)
 
     def merge_df(self, lookup: DataFrame, on, restrict=None) -> Timeline:
         """Copies the columns of ``lookup`` that are not in ``on`` to the events whose keys equal theirs, null-safely.
         ``on``: a name, names, or {column: key}. A value that an event already has must be equal; else nothing changes."""
         on = {on: on} if isinstance(on, str) else dict(on) if isinstance(on, dict) else {k: k for k in on}
-        if not isinstance(self.attrs, MapAttrs):
-            raise TypeError("typed timelines are merged by a join")
-        kinds = {"string": "text", "boolean": "bool"}
-        types, new = Registry(self.attrs.types), [c for c in lookup.columns if c not in on]
-        for c in new:
-            kind = kinds.get(dict(lookup.dtypes)[c], "numeric")
-            if types.get(c) and types[c] != kind:
-                raise TypeError(f"{c!r} holds {types[c]} values, not {kind}")
-            types[c] = kind
-        after = replace(self.attrs, types=dict(types))
-
-        def struct(c: str) -> Column:
-            kind, value = dict(lookup.dtypes)[c], F.col(f"_v_{c}")
-            whole, real = kind in ("tinyint", "smallint", "int", "bigint"), kind in ("float", "double") or kind.startswith("decimal")
-            part = lambda own, t: (value if own else F.lit(None)).cast(t)
-            return F.when(value.isNotNull(), F.struct(part(whole, "bigint").alias("l"), part(real, "double").alias("d"), part(kind == "string", "string").alias("s"), part(kind == "boolean", "boolean").alias("b")))
-
+        dtypes, new = dict(lookup.dtypes), [c for c in lookup.columns if c not in on]
+        agree(self.attrs.types, {c: kind_of_type(dtypes[c]) for c in new})
         df, hit = self._where(restrict)
         right = lookup.select(*(F.col(c).alias(f"_k_{c}") for c in on), *(F.col(c).alias(f"_v_{c}") for c in new), F.lit(True).alias("_found"))
         cond = hit
         for column, key in on.items():
-            cond = cond & (F.col(INDEX[key]) if key in INDEX else after.value(key)).eqNullSafe(F.col(f"_k_{column}"))
-            cond = cond & (F.lit(True) if key in INDEX else after.present(key))
+            cond = cond & (F.col(INDEX[key]) if key in INDEX else self.attrs.value(key)).eqNullSafe(F.col(f"_k_{column}"))
+            cond = cond & (F.lit(True) if key in INDEX else self.attrs.present(key))
         df = df.join(right, cond, "left")
         clash = F.lit(False)
         for c in new:
-            old = after.value(c)
-            clash = clash | (F.col("_found") & after.present(c) & ~old.eqNullSafe(F.col(f"_v_{c}").cast("double") if types[c] == "numeric" else F.col(f"_v_{c}")))
+            if c in self.attrs.types:
+                clash = clash | (F.col("_found") & self.attrs.present(c) & ~self.attrs.value(c).eqNullSafe(F.col(f"_v_{c}")))
         if not df.where(clash).isEmpty():
             raise ValueError("the merge would overwrite values with others")
         if not df.groupBy("event_id").count().where("count > 1").isEmpty():
             raise ValueError("several rows of the lookup fit one event")
-        put = F.map_from_arrays(F.array(*(F.lit(c) for c in new)), F.array(*(struct(c) for c in new)))
-        rest = F.map_filter("attrs", lambda k, _: ~k.isin(new))
-        df = df.withColumn("attrs", F.when(F.col("_found"), F.map_concat(rest, put)).otherwise(F.col("attrs")))
-        return replace(self, events=df.select(*self.events.columns), attrs=after)
+        after, found = self.attrs, F.coalesce(F.col("_found"), F.lit(False))
+        for c in new:
+            df, after = after.put(df, c, F.col(f"_v_{c}"), dtypes[c], found)
+        return replace(self, events=df.select(*EVENT_KEYS, *after.columns()), attrs=after)
+
+    # Single events and reports.
+
+    def items(self, restrict=None) -> DataFrame:
+        """(event_id, key, value): a row for each attribute that a matching event has, values as text."""
+        found, _ = MapAttrs().take(self.find(restrict), self.attrs, EVENT_KEYS)
+        pairs = found.select("event_id", F.explode("attrs").alias("key", "a"))
+        return pairs.select("event_id", "key", F.coalesce(F.col("a.s"), F.col("a.b").cast("string"), F.col("a.l").cast("string"), F.col("a.d").cast("string")).alias("value"))
+
+    def event(self, event_id: int) -> dict:
+        """The attributes of one event, as a dict of its own; ``update`` and ``delete_attr`` write. KeyError if it is gone."""
+        found, _ = MapAttrs().take(self.events.where(F.col("event_id") == event_id), self.attrs, EVENT_KEYS)
+        rows = found.take(1)
+        if not rows:
+            raise KeyError(event_id)
+        return {k: decode(v) for k, v in (rows[0].attrs or {}).items()}
+
+    def exists(self, event_id: int) -> bool:
+        return not self.events.where(F.col("event_id") == event_id).isEmpty()
+
+    def sorted_recspans(self) -> DataFrame:
+        return self.recspans.orderBy("recspan_id")
 
     def save(self, path: str) -> None:
-        """As Parquet; the types of keys are a small third table."""
+        """As Parquet; the encodings and the types of keys are a small third table."""
         self.events.write.parquet(f"{path}/events")
         self.recspans.write.parquet(f"{path}/recspans")
-        rows = [("event", k, v) for k, v in self.attrs.types.items()] + [("recspan", k, v) for k, v in self.recspan_attrs.types.items()]
+        rows = []
+        for space, a in (("event", self.attrs), ("recspan", self.recspan_attrs)):
+            rows.append((space, None, "columns" if isinstance(a, ColumnAttrs) else "map"))
+            rows += [(space, k, v) for k, v in a.types.items()]
         self.events.sparkSession.createDataFrame(rows, "space string, key string, kind string").write.parquet(f"{path}/types")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> Timeline:
         types: dict[str, dict] = {"event": {}, "recspan": {}}
+        how = dict.fromkeys(types, "map")
         for r in spark.read.parquet(f"{path}/types").collect():
-            types[r.space][r.key] = r.kind
-        return Timeline(spark.read.parquet(f"{path}/events"), spark.read.parquet(f"{path}/recspans"), MapAttrs(types["event"]), MapAttrs(types["recspan"], "recspan_attrs"))
+            if r.key is None:
+                how[r.space] = r.kind
+            else:
+                types[r.space][r.key] = r.kind
+        events, recspans = spark.read.parquet(f"{path}/events"), spark.read.parquet(f"{path}/recspans")
+
+        def attrs(space: str, df: DataFrame, column: str):
+            own = types[space]
+            return ColumnAttrs(own, "", frozenset(k for k in own if f"{k}__present" in df.columns)) if how[space] == "columns" else MapAttrs(own, column)
+
+        return Timeline(events, recspans, attrs("event", events, "attrs"), attrs("recspan", recspans, "recspan_attrs"))
 
 
 INDEX = {"_RECSPAN_ID": "recspan_id", "_START_TICK": "start_tick", "_STOP_TICK": "stop_tick"}

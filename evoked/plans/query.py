@@ -141,11 +141,14 @@ class Placeholder:
 
 
 _TOKEN = re.compile(
-    r"""\s*(?:(?P<paren>[()])|(?P<op>==|!=|<=|>=|<|>|\.(?![0-9]))|(?P<number>[-+]?[0-9]*\.?[0-9]+(?:[eE][-+]?[0-9]+)?)|(?P<quote>["'`])|(?P<word>\w+))"""
+    r"""\s*(?:(?P<paren>[()])|(?P<op>==|!=|<=|>=|<|>|\.(?![0-9]))|(?P<number>[+-]?(?:[0-9]+(?:\.[0-9]+)?|\.[0-9]+)(?:e[+-]?[0-9]+)?)|(?P<quote>["'`])|(?P<word>\w+))""",
+    re.I,
 )
 _QUOTED = re.compile(r"""\\(.)|([^\\])""", re.S)
-_BINARY = {".": 200, "==": 100, "!=": 100, "<": 100, ">": 100, "<=": 100, ">=": 100, "and": 0, "or": 0}
-_UNARY = {"not": 0, "has": 0}
+#: Operators by how closely they bind, the closest first; those of one rank bind from the left.
+_RANKS = ((".",), ("==", "!=", "<", ">", "<=", ">="), ("and", "or", "not", "has"))
+_RANK = {op: rank for rank, ops in enumerate(_RANKS) for op in ops}
+_UNARY = ("not", "has")
 
 
 def lex(text: str) -> list[tuple[str, object]]:
@@ -195,7 +198,7 @@ def parse(text: str, p: Placeholder) -> Query:
     tokens, at = lex(text), 0
 
     def reduce(ops: list, args: list) -> None:
-        name, arity = ops.pop()[:2]
+        name, arity = ops.pop()
         if len(args) < arity:
             raise EventsError(f"{name} lacks an argument")
         own = args[len(args) - arity :]
@@ -238,7 +241,7 @@ def parse(text: str, p: Placeholder) -> Query:
                 break
             if expect:
                 if kind == "unary":
-                    ops.append((value, 1, _UNARY[value]))
+                    ops.append((value, 1))
                 elif kind == "paren":
                     args.append(resolve(expression(True)))
                     expect = False
@@ -250,9 +253,9 @@ def parse(text: str, p: Placeholder) -> Query:
             else:
                 if kind != "op":
                     raise EventsError(f"an operator is expected before {value!r}")
-                while ops and ops[-1][2] >= _BINARY[value]:
+                while ops and _RANK[ops[-1][0]] <= _RANK[value]:
                     reduce(ops, args)
-                ops.append((value, 2, _BINARY[value]))
+                ops.append((value, 2))
                 expect = True
         if closing or expect:
             raise EventsError("the query breaks off")

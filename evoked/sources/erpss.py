@@ -239,7 +239,7 @@ def check_log(codes: DataFrame, log: DataFrame) -> None:
 def load(spark: SparkSession, raw_path: str, log_path: str, calibration_events: object = "condition == 0", **calibration):
     """A Dataset of one recording and its log."""
     from evoked.dataset import Dataset
-    from evoked.operators.timeline import Timeline
+    from evoked.operators.timeline import Timeline, numbered
 
     head = parse_header(bytes(spark.read.format("binaryFile").load(raw_path).select(F.expr(f"substring(content, 1, {HEADER_BYTES})").alias("h")).first().h))
     rows, log = read_recordings(spark, raw_path), read_logs(spark, log_path)
@@ -256,7 +256,9 @@ def load(spark: SparkSession, raw_path: str, log_path: str, calibration_events:
     signal = placed.select("recspan_id", (F.col("tick") - F.col("start")).alias("tick"), *(F.col("samples")[i].alias(n) for i, n in enumerate(names)))
     found = log.join(F.broadcast(spans), at)
     keys = ["code", "condition", "flag", "flag_data_error", "flag_rejected", "flag_polinv"]
-    events = found.select(F.monotonically_increasing_id().alias("event_id"), "recspan_id", (F.col("tick") - F.col("start")).alias("start_tick"), (F.col("tick") - F.col("start") + 1).alias("stop_tick"), *keys)
+    # Ticks of a log differ, so a repeated task numbers them alike.
+    found = numbered(found, "event_id", "tick", "code")
+    events = found.select("event_id", "recspan_id", (F.col("tick") - F.col("start")).alias("start_tick"), (F.col("tick") - F.col("start") + 1).alias("stop_tick"), *keys)
     deleted = found.where(F.col("code") == DELETE).select("recspan_id", F.lit(True).alias("deleted")).distinct()
     info = spans.select("recspan_id", (F.col("stop") - F.col("start")).alias("ticks")).join(deleted, "recspan_id", "left").withColumn("deleted__present", F.col("deleted").isNotNull())
     t = Timeline.from_columns(events, info, keys, ["deleted"])
