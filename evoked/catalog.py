@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from evoked.dataset import Dataset
 from evoked.functions.data_format import DataFormat
 from evoked.operators import accounting, artifact, epochs, intervals, regression
 from evoked.operators.timeline import Timeline
@@ -49,9 +50,9 @@ def signal(spark: SparkSession, sf_dir: str) -> DataFrame:
 _Q: dict[str, tuple[Callable, str | None]] = {}
 
 
-def _query(sql: str | None = None):
+def _query(sql: str | None = None, recursive: bool = False):
     def add(f):
-        _Q[f.__name__] = (f, f"WITH {_TL}{sql}" if sql else None)
+        _Q[f.__name__] = (f, f"WITH {'RECURSIVE ' if recursive else ''}{_TL}{sql}" if sql else None)
         return f
 
     return add
@@ -287,14 +288,159 @@ def q_normal_equations_xy(spark, sf_dir):
     return regression.normal_equations(*_design(spark, sf_dir), ["v"])[1].select("a", F.round("v", 4).alias("v"))
 
 
-@_query()
+#: The columns of clicks and purchases: intercept and purchase at three latencies; then X'X with both channels' X'Y beside it,
+#: reduced row by row.
+_SOLVE = (
+    _XX.replace("1.0 AS x0, CAST(k AS DOUBLE) AS x1 FROM ev WHERE event_type = 'purchase'", "1.0 AS x0, CAST(event_type = 'purchase' AS DOUBLE) AS x1 FROM ev WHERE event_type IN ('purchase', 'click')")
+    + """, cols AS (SELECT unnest(range(6)) AS c),
+xx AS (SELECT p.col AS a, q.col AS b, sum(p.value * q.value) AS v FROM cl p JOIN cl q ON p.recspan_id = q.recspan_id AND p.tick = q.tick GROUP BY 1, 2),
+xy AS (SELECT col AS a, sum(value * v) AS v, sum(value * k) AS k FROM cl JOIN tl USING (recspan_id, tick) GROUP BY 1),
+rw AS (SELECT x.c AS a, list(coalesce(xx.v, 0.0) ORDER BY y.c) AS r FROM cols x CROSS JOIN cols y LEFT JOIN xx ON xx.a = x.c AND xx.b = y.c GROUP BY x.c),
+gj AS (SELECT 0 AS n, list(list_concat(r, [v, k]) ORDER BY a) AS m FROM rw JOIN xy USING (a)
+ UNION ALL SELECT n + 1, list_transform(m, lambda r, i: CASE WHEN i = n + 1 THEN list_transform(r, lambda x: x / m[n + 1][n + 1]) ELSE list_transform(r, lambda x, j: x - r[n + 1] * m[n + 1][j] / m[n + 1][n + 1]) END) FROM gj WHERE n < 6)
+ SELECT CASE WHEN c < 3 THEN 'Intercept' ELSE 'event_type[T.purchase]' END AS predictor, c % 3 AS latency_tick, round(m[c + 1][7], 6) AS v, round(m[c + 1][8], 6) AS k FROM gj, cols WHERE n = 6"""
+)
+
+
+@_query(_SOLVE, recursive=True)
 def q_rerp_overlap_corrected(spark, sf_dir):
     t, s = timeline(spark, sf_dir), signal(spark, sf_dir)
     fit = regression.multi_rerp(t, s, FORMAT, [regression.Request("event_type == 'purchase' or event_type == 'click'", 0, 8, "event_type", name="both")], artifact_query="event_type == 'error'", artifact_type_field=None)[0]
     return fit.betas.select("predictor", "latency_tick", F.round("v", 6).alias("v"), F.round("k", 6).alias("k"))
 
 
-@_query(", a AS (SELECT x.recspan_id, x.tick, (SELECT min(y.tick) FROM tl y WHERE y.recspan_id = x.recspan_id AND y.tick > x.tick AND (SELECT max(z.v) - min(z.v) FROM tl z WHERE z.recspan_id = x.recspan_id AND z.tick BETWEEN x.tick AND y.tick) > 40) AS e, max(x.tick) OVER (PARTITION BY x.recspan_id) AS m FROM tl x) SELECT recspan_id, tick, coalesce(e, m + 1) - tick AS length FROM a")
+@_query(" SELECT event_id, CASE WHEN k > 50 THEN 1.5 END AS flag, amount FROM ev WHERE k > 50 OR has_amount")
+def q_set_attr(spark, sf_dir):
+    t = timeline(spark, sf_dir).set_attr("flag", 1.5, "k > 50")
+    return t.find(t.placeholder().has_key("flag") | t.placeholder().has_key("amount")).select("event_id", "flag", "amount")
+
+
+@_query(" SELECT event_id FROM ev WHERE has_amount AND NOT coalesce(amount > 50, false)")
+def q_delete_attr(spark, sf_dir):
+    return timeline(spark, sf_dir).delete_attr("amount", "amount > 50").find("has amount").select("event_id")
+
+
+@_query(" SELECT event_id, CASE event_type WHEN 'click' THEN 1 ELSE 7 END AS weight, event_type = 'view' AS seen FROM ev WHERE event_type IN ('click', 'view') AND k < 60")
+def q_merge_df(spark, sf_dir):
+    lookup = spark.createDataFrame([("click", 1, False), ("view", 7, True), ("none", 9, True)], "event_type string, weight int, seen boolean")
+    return timeline(spark, sf_dir).merge_df(lookup, "event_type", "k < 60").find("has weight").select("event_id", "weight", "seen")
+
+
+@_query(" SELECT event_id, recspan_id % 10 AS ward FROM ev WHERE recspan_id < 40")
+def q_merge_index(spark, sf_dir):
+    lookup = spark.range(40).select(F.col("id").alias("user"), (F.col("id") % 10).alias("ward"))
+    return timeline(spark, sf_dir).merge_df(lookup, {"user": "_RECSPAN_ID"}).find("has ward").select("event_id", "ward")
+
+
+@_query(", t AS (SELECT max(event_id) + 1 AS e FROM ev) SELECT event_id + e AS event_id, 'new' AS mark, v FROM ev, t WHERE event_type = 'signup'")
+def q_union_keys(spark, sf_dir):
+    t = timeline(spark, sf_dir)
+    marked = t.set_attr("mark", "new", "event_type == 'signup'")
+    other = Timeline(marked.find("has mark"), t.recspans, marked.attrs, t.recspan_attrs)
+    return t.union(other).find("mark == 'new'").select("event_id", "mark", "v")
+
+
+@_query(", n AS (SELECT row_number() OVER (ORDER BY recspan_id, start_tick) - 1 AS no, * FROM ev WHERE event_type = 'error'), t AS (SELECT max(event_id) + 1 AS e FROM ev) SELECT no + e AS event_id, recspan_id, start_tick, stop_tick + 2 AS stop_tick, v FROM n, t")
+def q_add_events(spark, sf_dir):
+    t = timeline(spark, sf_dir)
+    empty = F.lit(None)
+    attrs = F.create_map(F.lit("v"), F.struct(empty.cast("bigint").alias("l"), F.col("v").alias("d"), empty.cast("string").alias("s"), empty.cast("boolean").alias("b")), F.lit("added"), F.struct(empty.cast("bigint").alias("l"), empty.cast("double").alias("d"), empty.cast("string").alias("s"), F.lit(True).alias("b")))
+    new = t.find("event_type == 'error'").select("recspan_id", "start_tick", (F.col("stop_tick") + 2).alias("stop_tick"), attrs.alias("attrs"))
+    return t.add_events(new, {"v": "numeric", "added": "bool"}).find("added == true").select("event_id", "recspan_id", "start_tick", "stop_tick", "v")
+
+
+@_query(" SELECT event_id, k > 50 AND event_type = 'view' AS matches FROM ev")
+def q_matches(spark, sf_dir):
+    return timeline(spark, sf_dir).matches("k > 50 and event_type == 'view'").select("event_id", "matches")
+
+
+@_query(" SELECT recspan_id, start_tick, event_id FROM ev WHERE event_type = 'error' ORDER BY 1, 2, 3")
+def q_events_sorted(spark, sf_dir):
+    return timeline(spark, sf_dir).sorted_events("event_type == 'error'").select("recspan_id", "start_tick", "event_id")
+
+
+@_query(" SELECT recspan_id, ticks, even, grp FROM rs ORDER BY 1")
+def q_recspans(spark, sf_dir):
+    return timeline(spark, sf_dir).sorted_recspans().select("recspan_id", "ticks", "even", "grp")
+
+
+@_query(" SELECT event_id, 'event_type' AS key, event_type AS value FROM ev WHERE k = 7 UNION ALL SELECT event_id, 'k', CAST(k AS VARCHAR) FROM ev WHERE k = 7 UNION ALL SELECT event_id, 'amount', NULL FROM ev WHERE k = 7 AND has_amount AND amount IS NULL UNION ALL SELECT event_id, 'grp', CAST(recspan_id % 5 AS VARCHAR) FROM ev WHERE k = 7 AND false")
+def q_items(spark, sf_dir):
+    return timeline(spark, sf_dir).items("k == 7").where("key <> 'v' AND (key <> 'amount' OR value IS NULL)")
+
+
+@_query(" SELECT event_id, stop_tick - start_tick AS ticks, CASE WHEN stop_tick - start_tick = 1 THEN 1.0 ELSE pow(2.0, ceil(log2(stop_tick - start_tick)) - 1) END AS magnitude FROM ev")
+def q_magnitude(spark, sf_dir):
+    n = F.col("stop_tick") - F.col("start_tick")
+    return timeline(spark, sf_dir).events.select("event_id", n.alias("ticks"), intervals.magnitude(n).alias("magnitude"))
+
+
+@_query(" SELECT recspan_id, tick, round(max(v) OVER w - min(v) OVER w, 6) AS range FROM tl WINDOW w AS (PARTITION BY recspan_id ORDER BY tick ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)")
+def q_peak_to_peak(spark, sf_dir):
+    return artifact.peak_to_peak(signal(spark, sf_dir), "v", 5).select("recspan_id", "tick", F.round("range", 6).alias("range"))
+
+
+_FLAT = ", a AS (SELECT x.recspan_id, x.tick, (SELECT min(y.tick) FROM tl y WHERE y.recspan_id = x.recspan_id AND y.tick > x.tick AND (SELECT max(z.v) - min(z.v) FROM tl z WHERE z.recspan_id = x.recspan_id AND z.tick BETWEEN x.tick AND y.tick) > 40) AS e, max(x.tick) OVER (PARTITION BY x.recspan_id) AS m FROM tl x), f AS (SELECT recspan_id, tick, coalesce(e, m + 1) AS stop FROM a)"
+
+
+@_query(_FLAT + " SELECT recspan_id, tick - 1 AS start, stop + 1 AS stop FROM f WHERE stop - tick > 2")
+def q_find_flat_spans(spark, sf_dir):
+    return artifact.find_flat_spans(signal(spark, sf_dir), "v", 40.0, 2, pad=1)
+
+
+@_query(_FLAT + ", g AS (SELECT *, max(stop) OVER (PARTITION BY recspan_id ORDER BY tick ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM f) SELECT recspan_id, tick AS start_tick, stop AS stop_tick FROM g WHERE stop - tick > 3 AND (p IS NULL OR stop > p)")
+def q_reject_flat(spark, sf_dir):
+    t = artifact.reject_flat(timeline(spark, sf_dir), signal(spark, sf_dir), "v", 40.0, 3)
+    return t.find("_ARTIFACT_TYPE == 'flat'").select("recspan_id", "start_tick", "stop_tick")
+
+
+@_query(_EPOCHS.format(where="event_type IN ('click', 'purchase', 'view')") + " SELECT concat('event_type[', event_type, ']') AS predictor, latency_tick, round(avg(v), 6) AS v, round(avg(k), 6) AS k FROM x GROUP BY event_type, latency_tick")
+def q_by_type_fit(spark, sf_dir):
+    which = "event_type == 'click' or event_type == 'purchase' or event_type == 'view'"
+    request = regression.Request(which, -8, 12, "0 + event_type", all_or_nothing=True)
+    fit = regression.multi_rerp(timeline(spark, sf_dir), signal(spark, sf_dir), FORMAT, [request], artifact_query=False, artifact_type_field=None, overlap_correction=False, regression_strategy="by-epoch")[0]
+    return fit.betas.select("predictor", "latency_tick", F.round("v", 6).alias("v"), F.round("k", 6).alias("k"))
+
+
+@_query(" SELECT event_id, 1.0 AS \"Intercept\", CAST(event_type = 'purchase' AS DOUBLE) AS purchase, CAST(event_type = 'view' AS DOUBLE) AS \"view\", CAST(recspan_id % 5 AS DOUBLE) AS grp, CAST(k + 1 AS DOUBLE) AS k1 FROM ev WHERE event_type IN ('click', 'purchase', 'view')")
+def q_design_categorical(spark, sf_dir):
+    t = timeline(spark, sf_dir)
+    which = "event_type == 'click' or event_type == 'purchase' or event_type == 'view'"
+    rows, designs, _ = regression.epoch_spans(t, FORMAT, [regression.Request(which, 0, 8, "event_type + _RECSPAN_INFO.grp + I(k + 1)")])
+    names = ["Intercept", "purchase", "view", "grp", "k1"]
+    if len(designs[0].names) != len(names):
+        raise ValueError(f"a column for each of {names} is expected, not {designs[0].names}")
+    return rows.select("event_id", *(F.col("x")[i].alias(n) for i, n in enumerate(names)))
+
+
+@_query(_BUCKET + " SELECT CAST(request AS INT) AS request, round(sum(CASE WHEN bad OR err THEN 0 ELSE t * n END) / sum(CASE WHEN bad OR err THEN 0 ELSE t END), 9) AS ratio FROM bk GROUP BY request")
+def q_overlap_ratio(spark, sf_dir):
+    return _accounting(accounting.point_stats, spark, sf_dir).select("request", F.round(F.col("event_ticks_accepted") / F.col("ticks_accepted"), 9).alias("ratio"))
+
+
+@_query(_BUCKET + ", s AS (SELECT o.event_id, bool_and(NOT (pc.bad OR pc.err)) AS ev, bool_or(NOT (pc.bad OR pc.err)) AS so FROM one o JOIN pc USING (recspan_id, lo, hi) GROUP BY o.event_id) SELECT CASE WHEN (SELECT sum(t * n) > sum(t) FROM bk WHERE request IS NULL AND NOT (bad OR err)) OR (SELECT count(*) FILTER (so AND NOT ev) > 0 FROM s) THEN 'continuous' ELSE 'by-epoch' END AS strategy")
+def q_strategy(spark, sf_dir):
+    ep, art = _spans(spark, sf_dir)
+    pieces, ids = intervals.subspans(ep, art), ep.select("epoch_id", "request")
+    points, whole = (f(pieces, ids).where("request IS NULL").first().asDict() for f in (accounting.point_stats, accounting.epoch_stats))
+    return spark.createDataFrame([(accounting.choose_strategy("auto", points, whole),)], "strategy string")
+
+
+@_query(", p AS (SELECT ev.recspan_id, start_tick FROM ev JOIN rs USING (recspan_id) WHERE event_type = 'purchase'), c AS (SELECT d, avg(tl.v) AS v, avg(tl.k) AS k FROM (SELECT p.recspan_id, start_tick, c AS d, l, count(*) OVER (PARTITION BY p.recspan_id, start_tick, c) AS n FROM p JOIN rs USING (recspan_id), (VALUES (-1), (3)) q(c), (SELECT unnest(range(-1, 2)) AS l) WHERE start_tick + c + l >= 0 AND start_tick + c + l < ticks) z JOIN tl ON tl.recspan_id = z.recspan_id AND tl.tick = z.start_tick + d + l WHERE n = 3 GROUP BY d), s AS (SELECT max(v) FILTER (d = 3) - max(v) FILTER (d = -1) AS v, max(k) FILTER (d = 3) - max(k) FILTER (d = -1) AS k FROM c) SELECT recspan_id, tick, round(tl.v * 10 / s.v, 3) AS v, round(tl.k * 10 / s.k, 3) AS k FROM tl, s")
+def q_calibrate(spark, sf_dir):
+    t = timeline(spark, sf_dir).set_attr("calibration_pulse", True, "event_type == 'purchase'")
+    ds = Dataset(FORMAT, signal(spark, sf_dir), t)
+    out = ds.calibrated(calibrate_half_width_ticks=1, calibrate_low_cursor_time=-4, calibrate_high_cursor_time=12, calibrate_pulse_size=10)
+    return out.signal.select("recspan_id", "tick", F.round("v", 3).alias("v"), F.round("k", 3).alias("k"))
+
+
+@_query(" SELECT tl.event_id, s.span FROM tl JOIN (SELECT unnest(range(9)) AS span) s ON tl.tick >= span * 7 AND tl.tick < span * 7 + 7")
+def q_locate_ticks(spark, sf_dir):
+    spans = spark.range(9).select(F.col("id").alias("span"), (F.col("id") * 7).alias("start"), (F.col("id") * 7 + 7).alias("stop"))
+    return intervals.locate_ticks(base(spark, sf_dir).select("event_id", "tick"), spans).select("event_id", "span")
+
+
+@_query(_FLAT + " SELECT recspan_id, tick, stop - tick AS length FROM f")
 def q_flat_spans(spark, sf_dir):
     return artifact.flat_spans(signal(spark, sf_dir), "v", 40.0)
 

@@ -143,7 +143,10 @@ def compile_formula(text: str, events: DataFrame, attrs, recspan_attrs=None, reg
         levels = {f.name: list(row[i]) for i, f in enumerate(cats)}
     present = {Term(), *terms} if intercept else set(terms)
     names, values, owners = [], [], []
-    order = sorted(terms, key=lambda t: (tuple(sorted(f for f in t if not factors[f].categorical)), len(t)))
+    # Terms with the same numeric factors stand together, those without any first, the others as they appear.
+    numerics = lambda t: frozenset(f for f in t if not factors[f].categorical)
+    place = {n: i for i, n in enumerate(dict.fromkeys([frozenset(), *map(numerics, terms)]))}
+    order = sorted(terms, key=lambda t: (place[numerics(t)], len(t)))
     if intercept:
         names.append("Intercept")
         values.append(F.lit(1.0))
