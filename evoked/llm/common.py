@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,6 +52,20 @@ def settled(df: DataFrame) -> DataFrame:
     return out
 
 
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str):
+    """With the session's setting ``key`` at ``value``, for what is run inside."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z lower-cased and nothing else. ``lower`` does just that to ASCII texts and is several times as fast."""
     exact = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

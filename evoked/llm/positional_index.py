@@ -1,8 +1,9 @@
 """Benchmark decontamination by a positional inverted index, in DataFrame operations only.
 
-The index is a table of postings (term, document, position), written once to the shared folder, each file sorted by term; a
-document's sentinel, the empty term at the position after its last word, holds its length. Documents are not moved to build
-it, as each file indexes its own documents. It has the lists of all terms, or of the test items' terms only.
+The index is a table of postings (term, document, position), written once to the shared folder; a document's sentinel, the
+empty term at the position after its last word, holds its length. It has the lists of all terms, or of the test items' terms
+only. Texts are shuffled once, by document, and the table is bucketed by document and sorted by term: lists are then
+intersected where they lie, and only the places that a list is held against move, however many there are.
 
 A test phrase is probed by its rarest terms by corpus frequency. Their lists, each moved back by the probe's place in the
 phrase, are intersected on (document, start), the rarest first: of each other list only what is near a place of the one
@@ -30,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from evoked.llm.common import checkpoint, hinted, lower_ascii, remove, settled, shared_dir, small, table
+from evoked.llm.common import checkpoint, hinted, lower_ascii, remove, setting, settled, shared_dir, small, table
 
 WINDOW = 10
 #: Rarest terms of a phrase whose posting lists are intersected, where only exact and where also proximity matches are asked for.
@@ -63,14 +64,20 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 def build(docs: DataFrame, terms: DataFrame | None = None, path: str | None = None) -> DataFrame:
     """The index of ``docs``, written to ``path`` (a new folder in the shared one, if unset) and read again. ``terms`` (term):
-    the lists to keep, besides the sentinels; all, if unset."""
-    path = path or f"{shared_dir(docs.sparkSession)}/index-{uuid.uuid4().hex}"
-    postings = _rows(docs).select(*ROW, F.posexplode(F.array_append(words(F.col("text")), F.lit(""))).alias("pos", "term"))
+    the lists to keep, besides the sentinels; all, if unset. ``key``, a hash of both names of a document, is what it is bucketed
+    by. The catalog's entry serves to read it as such and is dropped again; the files stay."""
+    spark, name = docs.sparkSession, f"evoked_index_{uuid.uuid4().hex}"
+    path = path or f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = _rows(docs).withColumn("key", F.xxhash64(*ROW)).repartition(buckets, "key")
+    postings = rows.select("key", *ROW, F.posexplode(F.array_append(words(F.col("text")), F.lit(""))).alias("pos", "term"))
     if terms is not None:
-        kept = checkpoint(terms.unionByName(docs.sparkSession.range(1).select(F.lit("").alias("term"))).distinct())
+        kept = checkpoint(terms.unionByName(spark.range(1).select(F.lit("").alias("term"))).distinct())
         postings = postings.join(hinted(kept, BROADCAST_ROWS), "term", "left_semi")
-    postings.select("term", *ROW, "pos").sortWithinPartitions("term").write.parquet(path)
-    return docs.sparkSession.read.parquet(path)
+    postings.select("term", "key", *ROW, "pos").write.format("parquet").bucketBy(buckets, "key").sortBy("term").option("path", path).saveAsTable(name)
+    index = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return index
 
 
 def lengths(index: DataFrame) -> DataFrame:
@@ -88,11 +95,11 @@ def probes(index: DataFrame, ph: DataFrame, n_probes: int = NEAR_PROBES) -> Data
 
 
 def moved_lists(index: DataFrame, pr: DataFrame) -> DataFrame:
-    """(doc_id, row_hash, phrase_id, at, need, start): the probes' lists, moved back by the probes' places. need: how many
+    """(key, doc_id, row_hash, phrase_id, at, need, start): the probes' lists, moved back by the probes' places. need: how many
     probes the phrase has."""
     uses = checkpoint(pr.groupBy("term").agg(F.collect_list(F.struct("phrase_id", "at", "need")).alias("uses")))
-    lists = index.join(hinted(uses, BROADCAST_ROWS), "term").select(*ROW, "pos", F.inline("uses"))
-    return lists.select(*ROW, "phrase_id", "at", "need", (F.col("pos") - F.col("at")).alias("start"))
+    lists = index.join(hinted(uses, BROADCAST_ROWS), "term").select("key", *ROW, "pos", F.inline("uses"))
+    return lists.select("key", *ROW, "phrase_id", "at", "need", (F.col("pos") - F.col("at")).alias("start"))
 
 
 def met_lists(index: DataFrame, pr: DataFrame, slop: int = SLOP, n_probes: int = NEAR_PROBES) -> DataFrame:
@@ -102,9 +109,11 @@ def met_lists(index: DataFrame, pr: DataFrame, slop: int = SLOP, n_probes: int =
     bucket = F.floor(F.col("start") / (slop + 1))
     lists = part = checkpoint(moved_lists(index, pr.where("rank = 0")))
     for rank in range(1, n_probes):
-        near = checkpoint(part.select("row_hash", "phrase_id", F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("bucket")).distinct())
+        near = checkpoint(part.select("key", "phrase_id", F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("bucket")).distinct())
         part = moved_lists(index, pr.where(F.col("rank") == rank)).withColumn("bucket", bucket)
-        part = settled(part.join(hinted(near, BROADCAST_ROWS), ["row_hash", "phrase_id", "bucket"], "left_semi").drop("bucket"))
+        # Buckets of documents are enough to join by document, phrase and place: the index stays where it is.
+        with setting(index.sparkSession, "spark.sql.requireAllClusterKeysForCoPartition", "false"):
+            part = settled(part.join(hinted(near, BROADCAST_ROWS), ["key", "phrase_id", "bucket"], "left_semi").drop("bucket"))
         lists = lists.unionByName(part.select(lists.columns))
     after = W.partitionBy(*ROW, "phrase_id").orderBy("start")
     seen = lambda end: F.size(F.collect_set("at").over(after.rangeBetween(0, end)))
